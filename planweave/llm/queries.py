@@ -25,5 +25,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "tokens.*")
 
 
-QUERIES = {f.__name__: f for f in (op5_compression_bands, op7_token_counts)}
+def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planweave.llm.ring_sharding import shard_rows
+
+    placed = shard_rows(_documents(spark, sf_dir), shards=40)
+    return placed.select(
+        F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planweave.llm.suffix_decontam import find_contamination
+
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = find_contamination(_documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+    return found.select("doc_id", *[f"contamination.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
+
+
+QUERIES = {f.__name__: f for f in (op2_ring_sharding, op5_compression_bands, op6_suffix_decontamination, op7_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
