@@ -42,11 +42,18 @@ def op6_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"contamination.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
+def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planweave.llm.warc import read_warc, write_warc
+
+    files = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
+    return read_warc(files, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
 def op9_apportion_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planweave.llm.apportion_mixing import mix
 
     return mix(_documents(spark, sf_dir)).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_ring_sharding, op5_compression_bands, op6_suffix_decontamination, op7_token_counts, op9_apportion_mixing)}
+QUERIES = {f.__name__: f for f in (op2_ring_sharding, op5_compression_bands, op6_suffix_decontamination, op7_token_counts, op8_warc_roundtrip, op9_apportion_mixing)}
 ORACLE_SQL: dict[str, str] = {}
