@@ -10,6 +10,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planweave.llm.simhash import near_duplicates
+
+    found = near_duplicates(_documents(spark, sf_dir))
+    # hex() of a long drops leading zeros.
+    return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planweave.llm.compression_rules import compression_quality
 
@@ -55,5 +63,5 @@ def op9_apportion_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_ring_sharding, op5_compression_bands, op6_suffix_decontamination, op7_token_counts, op8_warc_roundtrip, op9_apportion_mixing)}
+QUERIES = {f.__name__: f for f in (op2_ring_sharding, op3_simhash_pivots, op5_compression_bands, op6_suffix_decontamination, op7_token_counts, op8_warc_roundtrip, op9_apportion_mixing)}
 ORACLE_SQL: dict[str, str] = {}
