@@ -18,6 +18,13 @@ def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planweave.llm.neural_lm import score_texts
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return score_texts(_documents(spark, sf_dir), held_out).withColumnRenamed("key", "doc_id")
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planweave.llm.compression_rules import compression_quality
 
@@ -63,5 +70,5 @@ def op9_apportion_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_ring_sharding, op3_simhash_pivots, op5_compression_bands, op6_suffix_decontamination, op7_token_counts, op8_warc_roundtrip, op9_apportion_mixing)}
+QUERIES = {f.__name__: f for f in (op2_ring_sharding, op3_simhash_pivots, op4_log_bilinear_lm, op5_compression_bands, op6_suffix_decontamination, op7_token_counts, op8_warc_roundtrip, op9_apportion_mixing)}
 ORACLE_SQL: dict[str, str] = {}
