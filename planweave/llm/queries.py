@@ -70,5 +70,15 @@ def op9_apportion_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_ring_sharding, op3_simhash_pivots, op4_log_bilinear_lm, op5_compression_bands, op6_suffix_decontamination, op7_token_counts, op8_warc_roundtrip, op9_apportion_mixing)}
+def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planweave.llm.labelled import fold
+    from planweave.llm.pu_toxicity import fit, score_texts
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_texts(docs, model, into="score")
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ring_sharding, op3_simhash_pivots, op4_log_bilinear_lm, op5_compression_bands, op6_suffix_decontamination, op7_token_counts, op8_warc_roundtrip, op9_apportion_mixing, op10_pu_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
