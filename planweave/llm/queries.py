@@ -40,6 +40,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "tokens.*")
 
 
+def op1_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planweave.llm.fm_quality import fit, score_texts
+    from planweave.llm.labelled import fold
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "n_chars")
+    machine = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), metadata=["n_chars"])
+    scored = score_texts(docs, machine, metadata=["n_chars"], into="score")
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planweave.llm.ring_sharding import shard_rows
 
@@ -80,5 +90,5 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ring_sharding, op3_simhash_pivots, op4_log_bilinear_lm, op5_compression_bands, op6_suffix_decontamination, op7_token_counts, op8_warc_roundtrip, op9_apportion_mixing, op10_pu_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_fm_quality, op2_ring_sharding, op3_simhash_pivots, op4_log_bilinear_lm, op5_compression_bands, op6_suffix_decontamination, op7_token_counts, op8_warc_roundtrip, op9_apportion_mixing, op10_pu_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
