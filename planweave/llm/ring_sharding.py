@@ -32,12 +32,22 @@ ROW_BYTES = 16
 
 
 def ring(shards: int, cells: int = CELLS, nodes: int = VIRTUAL_NODES) -> dict[int, int]:
-    """Cell -> shard, for cells that hold a virtual node; the smallest shard wins a shared cell."""
+    """Cell -> shard, for cells that hold a virtual node; the smallest shard wins a shared cell.
+
+    Each shard's first node takes the next free cell, so that every shard can be reached.
+    """
+    if shards > cells:
+        raise ValueError(f"a ring of {cells} cells has no place for {shards} shards")
+    place = lambda shard, k: int.from_bytes(hashlib.md5(f"{shard}/{k}".encode()).digest()[:8], "big") % cells
     owner: dict[int, int] = {}
     for shard in range(shards):
-        for k in range(nodes):
-            cell = int.from_bytes(hashlib.md5(f"{shard}/{k}".encode()).digest()[:8], "big") % cells
-            owner.setdefault(cell, shard)
+        cell = place(shard, 0)
+        while cell in owner:
+            cell = (cell + 1) % cells
+        owner[cell] = shard
+    for shard in range(shards):
+        for k in range(1, nodes):
+            owner.setdefault(place(shard, k), shard)
     return owner
 
 
