@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from difflib import SequenceMatcher
 from functools import cache
 
@@ -30,7 +31,8 @@ def _folds() -> tuple[str, str, list[tuple[str, str]]]:
 
 def _folded(text: Column) -> Column:
     old, new, several = _folds()
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several])
+    # One constant array; an expression of as many parts as characters would slow planning down.
+    pairs = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in several])), "array<struct<a:string,b:string>>")
     return F.aggregate(pairs, F.translate(F.lower(text), old, new), lambda x, p: F.replace(x, p["a"], p["b"]))
 
 

@@ -154,8 +154,8 @@ def fuzzy_matches(before: DataFrame, after: DataFrame, scores: DataFrame, config
 def match_pairs(before: DataFrame, after: DataFrame, before_rel: DataFrame, after_rel: DataFrame, config: MatchConfig = MatchConfig(), fuzzy: bool = True) -> DataFrame:
     """(pk, b_seq, a_seq, stage, confidence, uncertain) of all three stages."""
     exact = exact_matches(before, after)
-    b1, a1 = residual(before, exact, "b_seq"), residual(after, exact, "a_seq")
-    named = wbs_name_matches(b1, a1)
+    b1, a1 = residual(before, exact, "b_seq").persist(), residual(after, exact, "a_seq").persist()
+    named = wbs_name_matches(b1, a1).persist()
     out = exact.withColumns({"stage": F.lit("id"), "confidence": F.lit(1.0), "uncertain": F.lit(False)}).unionByName(
         named.withColumns({"stage": F.lit("wbs_name"), "confidence": F.lit(0.98), "uncertain": F.lit(False)})
     )
@@ -163,6 +163,7 @@ def match_pairs(before: DataFrame, after: DataFrame, before_rel: DataFrame, afte
         return out
     b2 = _with_near_names(with_neighbours(b1.join(named.select("pk", F.col("b_seq").alias("act_seq")), ["pk", "act_seq"], "left_anti"), neighbours(before_rel)), before)
     a2 = _with_near_names(with_neighbours(a1.join(named.select("pk", F.col("a_seq").alias("act_seq")), ["pk", "act_seq"], "left_anti"), neighbours(after_rel)), after)
+    b2, a2 = b2.persist(), a2.persist()
     found = fuzzy_matches(b2, a2, fuzzy_scores(b2, a2, config), config)
     return out.unionByName(found.select("pk", "b_seq", "a_seq", F.lit("fuzzy").alias("stage"), rounded(F.col("score")).alias("confidence"), "uncertain"))
 

@@ -30,11 +30,11 @@ def _query(sql: str | None = None, schedules: bool = True):
 
 
 def _acts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return schedule.activities(spark, d, "before"), schedule.activities(spark, d, "after")
+    return schedule.activities(spark, d, "before").persist(), schedule.activities(spark, d, "after").persist()
 
 
 def _rels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return schedule.relationships(spark, d, "before"), schedule.relationships(spark, d, "after")
+    return schedule.relationships(spark, d, "before").persist(), schedule.relationships(spark, d, "after").persist()
 
 
 def _changes(spark: SparkSession, d: str, fuzzy: bool = False) -> DataFrame:
