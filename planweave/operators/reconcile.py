@@ -96,9 +96,12 @@ def fuzzy_candidates(before: DataFrame, after: DataFrame, config: MatchConfig) -
     if config.threshold <= NAME_WEIGHT or config.threshold - config.margin < NAME_WEIGHT - 1e-9:
         return before.select("pk", F.col("act_seq").alias("b_seq")).join(after.select("pk", F.col("act_seq").alias("a_seq")), "pk")
 
+    def tagged(c: str) -> Column:
+        return F.transform(c, lambda x: F.concat(F.lit(f"{c}\0"), x))
+
     def signals(df: DataFrame, seq: str) -> DataFrame:
         one = [F.when(F.col(c) != "", F.array(F.concat(F.lit(f"{c}\0"), c))) for c in SAME]
-        many = [F.transform(c, lambda x, c=c: F.concat(F.lit(f"{c}\0"), x)) for c in SHARED]
+        many = [tagged(c) for c in SHARED]
         return df.select("pk", F.col("act_seq").alias(seq), F.explode(F.flatten(F.array_compact(F.array(*one, *many)))).alias("signal"))
 
     return signals(before, "b_seq").join(signals(after, "a_seq"), ["pk", "signal"]).select("pk", "b_seq", "a_seq").distinct()
