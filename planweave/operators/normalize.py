@@ -69,15 +69,15 @@ def projects_of(raw: DataFrame, wbs: DataFrame, activities: DataFrame, calendars
     Without declared projects an export that has breakdown nodes, activities or
     calendars first gets a project without id.
     """
-    first = raw.groupBy("source_id", "project_id").agg(F.min("project_seq").alias("first"))
-    same = [first["source_id"] == raw["source_id"], first["project_id"].eqNullSafe(raw["project_id"])]
-    declared = last_wins(raw, ["source_id", "project_id"], "project_seq").join(first, same).select(*[raw[c] for c in raw.columns if c != "project_seq"], (F.col("first")).alias("project_seq"))
+    of_id = Window.partitionBy("source_id", "project_id")
+    declared = raw.withColumn("__first", F.min("project_seq").over(of_id))
+    declared = last_wins(declared, ["source_id", "project_id"], "project_seq").withColumn("project_seq", F.col("__first")).drop("__first")
     named = wbs.select("source_id", "project_id", F.col("wbs_seq").alias("at"), F.lit(1).alias("phase")).unionByName(activities.select("source_id", "project_id", F.col("act_seq").alias("at"), F.lit(2).alias("phase")))
     loose = named.select("source_id").unionByName(calendars.select("source_id")).distinct().join(raw.select("source_id"), "source_id", "left_anti")
     named = named.unionByName(loose.select("source_id", F.lit(None).cast("string").alias("project_id"), F.lit(0).alias("at"), F.lit(0).alias("phase")))
     named = named.groupBy("source_id", "project_id").agg(F.min(F.struct("phase", "at")).alias("p"))
-    known = declared.select("source_id", "project_id").withColumns({"s": F.col("source_id"), "p_": F.col("project_id")}).select("s", "p_")
-    more = named.join(known, (named["source_id"] == known["s"]) & named["project_id"].eqNullSafe(known["p_"]), "left_anti")
+    known = declared.select("source_id", key_of("project_id").alias("pk"))
+    more = named.withColumn("pk", key_of("project_id")).join(known, ["source_id", "pk"], "left_anti")
     # Later than every declared project of the file.
     more = more.select("source_id", "project_id", (F.lit(1 << 40) * (F.col("p.phase") + 1) + F.col("p.at")).alias("project_seq"))
     return declared.unionByName(more, allowMissingColumns=True)
