@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from planweave.llm import apportion_mixing, common, compression_rules, fm_quality, labelled, neural_lm, pu_toxicity, ring_sharding, simhash, suffix_decontam, token_counts, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, verdict string, contamination string, toxicity string, quality string, fingerprint string"
-PROSE = " ".join(f"word{i} is number{i * 7} of many{i % 13}" for i in range(40))
+#: 200 different words of even letters: no band takes them for repetitive.
+PROSE = " ".join("".join("etaoinsrhldcum"[b % 14] for b in hashlib.sha256(b"%d" % i).digest()[: 3 + i % 6]) + str(i % 10) for i in range(200))
 
 
 @pytest.fixture(scope="module")
