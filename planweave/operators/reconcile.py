@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.functions.text import normal_name, rounded, similarity
+from planweave.operators.graph import durable
 from planweave.operators.normalize import NONE, key_of, last_wins
 
 #: Change name <- activity column.
@@ -156,9 +157,10 @@ def fuzzy_matches(before: DataFrame, after: DataFrame, scores: DataFrame, config
 
 def match_pairs(before: DataFrame, after: DataFrame, before_rel: DataFrame, after_rel: DataFrame, config: MatchConfig = MatchConfig(), fuzzy: bool = True) -> DataFrame:
     """(pk, b_seq, a_seq, stage, confidence, uncertain) of all three stages."""
-    exact = exact_matches(before, after)
-    b1, a1 = residual(before, exact, "b_seq").persist(), residual(after, exact, "a_seq").persist()
-    named = wbs_name_matches(b1, a1).persist()
+    # Each stage is used several times by the next ones: as plans they would double with every use.
+    exact = durable(exact_matches(before, after))
+    b1, a1 = durable(residual(before, exact, "b_seq")), durable(residual(after, exact, "a_seq"))
+    named = durable(wbs_name_matches(b1, a1))
     out = exact.withColumns({"stage": F.lit("id"), "confidence": F.lit(1.0), "uncertain": F.lit(False)}).unionByName(
         named.withColumns({"stage": F.lit("wbs_name"), "confidence": F.lit(0.98), "uncertain": F.lit(False)})
     )
@@ -166,7 +168,7 @@ def match_pairs(before: DataFrame, after: DataFrame, before_rel: DataFrame, afte
         return out
     b2 = _with_near_names(with_neighbours(b1.join(named.select("pk", F.col("b_seq").alias("act_seq")), ["pk", "act_seq"], "left_anti"), neighbours(before_rel)), before)
     a2 = _with_near_names(with_neighbours(a1.join(named.select("pk", F.col("a_seq").alias("act_seq")), ["pk", "act_seq"], "left_anti"), neighbours(after_rel)), after)
-    b2, a2 = b2.persist(), a2.persist()
+    b2, a2 = durable(b2), durable(a2)
     found = fuzzy_matches(b2, a2, fuzzy_scores(b2, a2, config), config)
     return out.unionByName(found.select("pk", "b_seq", "a_seq", F.lit("fuzzy").alias("stage"), rounded(F.col("score")).alias("confidence"), "uncertain"))
 
@@ -185,7 +187,8 @@ def compare_activities(before: DataFrame, after: DataFrame, before_rel: DataFram
     of ids, those of the before side carried over to the ids of the after side),
     b_seq, a_seq.
     """
-    pairs = match_pairs(before, after, before_rel, after_rel, config, fuzzy).persist()
+    before, after, before_rel, after_rel = map(durable, (before, after, before_rel, after_rel))
+    pairs = durable(match_pairs(before, after, before_rel, after_rel, config, fuzzy))
     b_all, a_all = before.withColumn("pk", key_of("project_id")), after.withColumn("pk", key_of("project_id"))
     both = b_all.select("pk").distinct().join(a_all.select("pk").distinct(), "pk", "left_semi")
     b = with_neighbours(b_all, neighbours(before_rel))
@@ -223,4 +226,4 @@ def compare_activities(before: DataFrame, after: DataFrame, before_rel: DataFram
 
     out = met.unionByName(alone(a_all, "a", "b", "after_activity_id", "ADDED"), allowMissingColumns=True)
     out = out.unionByName(alone(b_all, "b", "a", "before_activity_id", "DELETED"), allowMissingColumns=True)
-    return out.withColumn("project_id", F.nullif("pk", F.lit(NONE))).drop("pk")
+    return durable(out.withColumn("project_id", F.nullif("pk", F.lit(NONE))).drop("pk"))
