@@ -134,12 +134,18 @@ class FactorisationMachine:
         return self
 
 
+def _columns(batch: pa.Array | tuple[pa.Array, ...]) -> tuple[pa.Array, ...]:
+    """The columns of a batch: Spark hands over a single one without a tuple."""
+    return batch if isinstance(batch, tuple) else (batch,)
+
+
 def _extract(metadata: int):
     kind = pa.struct([("ids", pa.binary()), ("values", pa.binary()), ("stats", pa.binary())])
 
     def extract(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         inputs = Inputs()
-        for text, *meta in batches:
+        for batch in batches:
+            text, *meta = _columns(batch)
             rows = zip(text.to_pylist(), *[m.to_pylist() for m in meta], strict=True)
             found = [inputs.of(t, m) for t, *m in rows]
             yield pa.array([{"ids": a.astype(np.int32).tobytes(), "values": b.astype(np.float32).tobytes(), "stats": c.tobytes()} for a, b, c in found], kind)
@@ -185,7 +191,8 @@ def score_texts(docs: DataFrame, machine: FactorisationMachine, text_col: str =
 
     def scored(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         inputs, own = Inputs(), shared.value
-        for text, *meta in batches:
+        for batch in batches:
+            text, *meta = _columns(batch)
             z = np.zeros(len(text))
             for i, (t, *m) in enumerate(zip(text.to_pylist(), *[x.to_pylist() for x in meta], strict=True)):
                 place, value = own.inputs(*inputs.of(t, m))
