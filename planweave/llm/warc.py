@@ -30,6 +30,8 @@ from planweave.llm.common import bound_arrow_batches, new_path, stash
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 4 << 20
+#: Tasks that read archives, at most; a task then reads several ranges.
+MAX_READERS = 50_000
 FEED = 1 << 14
 READ = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -202,7 +204,9 @@ def read_warc(files: DataFrame, columns: list[str] | None = None, split: int = S
     """The records of files (path as URI, size), read by byte ranges of split bytes."""
     columns = columns or _ARROW.names
     ranges = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(split))).alias("start"))
-    ranges = ranges.withColumn("end", F.least(F.col("start") + split, "size")).repartition("path", "start")
+    ranges = ranges.withColumn("end", F.least(F.col("start") + split, "size"))
+    # A range is a short row that stands for much work: with a stated number, adaptive execution doesn't merge the tasks.
+    ranges = ranges.repartition(min(MAX_READERS, max(1, ranges.count())))
     kinds = dict(x.rsplit(" ", 1) for x in FIELDS.split(", "))
     return ranges.mapInArrow(_reader(columns), ", ".join(f"{c} {kinds[c]}" for c in columns))
 
