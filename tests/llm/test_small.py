@@ -56,6 +56,18 @@ def test_compression_bands():
     assert sum(map(len, compression_rules.chunks(b"x" * 8500))) == 8500
 
 
+def test_bands_reject_small_vocabularies():
+    """Texts that are neither repetitive in 3-word windows nor ordinary: below all clean texts of their length."""
+    r = random.Random(2)
+    packer = zstandard.ZstdCompressor(level=3)
+    syllables = [a + b for a in "bcdfghlmnprst" for b in ("a", "e", "i", "o", "u", "en", "ar")]
+    for n, vocabulary in ((150, 110), (300, 250), (600, 380), (1200, 700)):
+        words = ["".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(vocabulary)]
+        text = " ".join(r.choices(words, k=n)).encode()
+        verdict = compression_rules.judge(text, packer)
+        assert not verdict["base_failed"] and not verdict["kept"], (n, len(text), verdict)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 63), st.integers(0, 1), st.integers(1, 9)), max_size=40), st.integers(1, 6))
 def test_ring_serves_as_one_by_one(counts, shards):
