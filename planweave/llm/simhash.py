@@ -213,15 +213,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component: that with the smallest key, of repeated rows any one.
+    """One row of docs for each component: of those with its smallest key that with the smallest fingerprint, of repeated rows any one.
 
-    Of a component without keys, a row with its smallest fingerprint stays.
+    A key may come with different texts: rows are told apart by key and
+    fingerprint. Of a component without keys, a row with its smallest
+    fingerprint stays.
     """
     found = near_duplicates(docs, key, text_col)
-    kept = found.where(F.col("key") == F.col("component_id")).select(F.col("key").alias(key)).distinct()
-    # The join and the removal of repeated rows need the same partitioning: one shuffle of the texts.
-    rows = docs.join(kept, key, "left_semi").dropDuplicates([key])
     mine = free_name(docs, "fingerprint")
-    alone = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias(mine)).select(mine)
-    nulls = with_fingerprint(docs.where(F.col(key).isNull()), text_col, mine)
-    return rows.unionByName(nulls.join(alone, mine, "left_semi").dropDuplicates([mine]).select(*docs.columns))
+    chosen = found.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("fp").alias(mine))
+    kept = chosen.where("component_id is not null").select(F.col("component_id").alias(key), mine)
+    # The join and the removal of repeated rows need the same partitioning: one shuffle of the texts.
+    rows = with_fingerprint(docs.where(F.col(key).isNotNull()), text_col, mine).join(kept, [key, mine], "left_semi").dropDuplicates([key, mine])
+    alone = chosen.where("component_id is null").select(mine)
+    nulls = with_fingerprint(docs.where(F.col(key).isNull()), text_col, mine).join(alone, mine, "left_semi").dropDuplicates([mine])
+    return rows.select(*docs.columns).unionByName(nulls.select(*docs.columns))

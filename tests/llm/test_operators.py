@@ -64,6 +64,16 @@ def test_near_duplicates(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_tells_texts_of_one_key_apart(spark):
+    a, b, c = (" ".join(hashlib.sha256(b"%d %d" % (k, i)).hexdigest()[: 3 + i % 5] for i in range(80)) for k in range(3))
+    rows = [(7, a), (7, b), (3, a), (7, a), (7, b), (9, b + " "), (5, c), (5, None), (None, c), (None, "nobody's words here")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, (r.text or "").strip()) for r in kept), key=str) == sorted([(3, a), (7, b), (5, c), (5, ""), (None, "nobody's words here")], key=str)
+    # One key for a third of all rows: each of its texts is a group of its own.
+    many = [(1 if i % 3 == 0 else i + 2, " ".join(hashlib.sha256(b"%d %d" % (i, k)).hexdigest()[:6] for k in range(40))) for i in range(90)]
+    assert simhash.keep_one(spark.createDataFrame(many, "doc_id long, text string")).count() == 90
+
+
 def test_large_candidate_groups_are_linked_without_pairs(spark):
     base = 0x0123456789ABCDEF
     prints = sorted({base} | {base ^ (1 << a) for a in range(64)} | {base ^ (1 << a) ^ (1 << b) ^ (1 << c) for a in range(0, 60, 9) for b in range(1, 60, 11) for c in range(2, 60, 17)})
