@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from planweave.llm.common import bound_arrow_batches, new_path, stash
 
 MAGIC = b"\x1f\x8b\x08"
+VERSION = b"WARC/1."
 SPLIT_BYTES = 4 << 20
 #: Tasks that read archives, at most; a task then reads several ranges.
 MAX_READERS = 50_000
@@ -71,7 +72,7 @@ _PRINTABLE = "".join(chr(c) for c in range(33, 127))
 
 def headers(data: bytes) -> tuple[dict[str, str], int] | None:
     """The headers of a record and where its block starts; None if data doesn't begin with them."""
-    if not data.startswith(b"WARC/1."):
+    if not data.startswith(VERSION):
         return None
     end = data.find(b"\r\n\r\n")
     if end < 0:
@@ -134,31 +135,32 @@ class ByteRange:
 
 
 def member(source: ByteRange, start: int) -> tuple[bytes, int] | None:
-    """The decoded gzip member at start, and where it ends; None if it is no WARC record."""
-    inflate, out, at, checked = zlib.decompressobj(31), bytearray(), start, False
+    """The decoded gzip member at start, and where it ends; None if it is no WARC record.
+
+    What begins with a WARC version line is a record, however long its headers
+    are: if it is cut off, damaged or has no complete headers, that is an error.
+    """
+    inflate, out, at = zlib.decompressobj(31), bytearray(), start
     while not inflate.eof:
         part = source.get(at, at + FEED)
         try:
             out += inflate.decompress(part)
         except zlib.error:
-            if checked:
+            if out.startswith(VERSION):
                 raise ValueError(f"damaged record at byte {start}") from None
             return None
         at += len(part)
-        if not checked and (len(out) >= FEED or inflate.eof or not part):
-            if headers(bytes(out[: 8 * FEED])) is None:
-                if len(out) < 4 * FEED and out.startswith(b"WARC/1.") and not inflate.eof and part:
-                    continue  # long headers
-                return None
-            checked = True
-        if not part:
-            if checked and not inflate.eof:
-                raise ValueError(f"cut off record at byte {start}")
+        if not out.startswith(VERSION) and (len(out) >= len(VERSION) or inflate.eof or not part):
             return None
+        if not part and not inflate.eof:
+            raise ValueError(f"cut off record at byte {start}")
     end = at - len(inflate.unused_data)
     if end < source.size and source.get(end, end + len(MAGIC)) != MAGIC:
         return None
-    return bytes(out), end
+    data = bytes(out)
+    if headers(data) is None:
+        raise ValueError(f"record without complete headers at byte {start}")
+    return data, end
 
 
 def records_in(file, size: int, start: int, end: int) -> Iterator[dict]:
@@ -190,7 +192,7 @@ def _reader(columns: list[str]):
                 with store.open_input_file(path) as file:
                     for x in records_in(file, r["size"], r["start"], r["end"]):
                         held.append({c: x[c] for c in columns})
-                        n += len(x["payload"] or b"") if "payload" in columns else 100
+                        n += 100 + sum(len(x[c] or "") for c in ("url", "payload") if c in columns)
                         if n > READ:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, n = [], 0

@@ -1,5 +1,7 @@
 """Pure functions of the corpus operators against brute force."""
 
+import base64
+import hashlib
 import math
 import random
 import re
@@ -168,6 +170,26 @@ def test_warc_records_are_read_once_however_cut(tmp_path):
         list(warc.records_in(f, len(data) - 5, 0, len(data) - 5))
 
 
+def test_warc_long_headers_are_read_and_broken_ones_raise(tmp_path):
+    r = random.Random(3)
+    path = tmp_path / "long.warc.gz"
+
+    def read(data, split):
+        path.write_bytes(data)
+        with open(path, "rb") as file:
+            return [x["page_id"] for a in range(0, len(data), split) for x in warc.records_in(file, len(data), a, min(a + split, len(data)))]
+
+    urls = ["http://a/" + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=400_000)), "http://b/" + "é" * 60_000, "http://c/" + "x" * 3_000_000]
+    parts = [warc.record(i, url, b"page", base64.b32encode(hashlib.sha1(b"page").digest()).decode(), i, False) for i, url in enumerate([*urls, "http://d/"])]
+    for split in (50_000, 1 << 22):
+        assert read(b"".join(parts), split) == [0, 1, 2, 3]
+    headless = zlib.compressobj(6, zlib.DEFLATED, 31)
+    broken = headless.compress(b"WARC/1.1\r\nWARC-Type: response\r\n" + b"x" * 200_000) + headless.flush()
+    for data in (broken + parts[3], parts[3] + parts[0][:-50_000]):
+        with pytest.raises(ValueError):
+            read(data, 1 << 22)
+
+
 def test_token_counts_are_the_librarys():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
