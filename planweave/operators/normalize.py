@@ -6,13 +6,14 @@ the order of the file where later rows win or ties are broken by place.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.functions.text import is_milestone
 from planweave.sources.xer import Exports
+from planweave.storage import stash, written
 
 #: Entity column <- raw column.
 PROJECT = {"project_id": "proj_id", "short_name": "proj_short_name", "name": "proj_name", "planned_start": "plan_start_date", "planned_finish": "plan_end_date", "calendar_id": "clndr_id"}
@@ -104,6 +105,8 @@ def share_calendars(raw: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def normalize(exports: Exports) -> Schedules:
+    """Entities of exports. Records are written first, so that files are parsed once and not for every entity."""
+    exports = replace(exports, records=written(exports.records, "records"), sources=written(exports.sources, "sources"))
     def seq(name: str) -> Column:
         return F.col("line_number").cast("long").alias(name)
 
@@ -117,30 +120,40 @@ def normalize(exports: Exports) -> Schedules:
     relationships = resolve_relationships(edges, activities, projects)
     alone = relationships.select("source_id").distinct().join(projects.select("source_id"), "source_id", "left_anti")
     projects = projects.unionByName(alone.withColumn("project_seq", F.lit(0).cast("long")), allowMissingColumns=True)
-    return Schedules(projects, wbs, activities, relationships, share_calendars(calendars, projects))
+    projects = written(projects, "projects")
+    return Schedules(projects, wbs, activities, written(relationships, "relationships"), share_calendars(calendars, projects))
 
 
-def wbs_tree(wbs: DataFrame, keys: list[str], max_depth: int = 60) -> DataFrame:
-    """Nodes that hang on a root, with depth, path of ids and is_root; nodes in a cycle of parents hang on none.
+def wbs_tree(wbs: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes that hang on a root, with depth, path of ids, places (the path of wbs_seq) and is_root; nodes in a cycle of parents hang on none.
 
     A node without parent, with an unknown one or with itself as parent is a
     root. Of nodes with one id, the last is the parent of those that name it.
-    One level is added at a time; a level is what its parents' level leads to.
+    One level is added at a time, what its parents' level leads to, until a level
+    is empty; levels are written, so that the plan of the next one stays small.
     """
     target = last_wins(wbs.where("wbs_id <> ''"), [*keys, "wbs_id"], "wbs_seq").select(*keys, F.col("wbs_id").alias("parent_wbs_id"), F.col("wbs_seq").alias("parent_seq"))
     same = [F.col(f"w.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
     linked = wbs.alias("w").join(target.alias("t"), [*same, F.col("w.parent_wbs_id") == F.col("t.parent_wbs_id")], "left").select("w.*", "parent_seq")
-    linked = linked.withColumn("parent_seq", F.when(F.col("parent_seq") != F.col("wbs_seq"), F.col("parent_seq"))).cache()
-    level = linked.where("parent_seq is null").withColumns({"depth": F.lit(0), "path": F.array("wbs_id"), "is_root": F.lit(True)})
+    linked = stash(linked.withColumn("parent_seq", F.when(F.col("parent_seq") != F.col("wbs_seq"), F.col("parent_seq"))), "wbs")
+    level = linked.where("parent_seq is null").withColumns({"depth": F.lit(0), "path": F.array("wbs_id"), "places": F.array("wbs_seq"), "is_root": F.lit(True)})
     out = level
     rest = linked.where("parent_seq is not null")
-    for depth in range(1, max_depth):
-        above = level.select(*keys, F.col("wbs_seq").alias("parent_seq"), F.col("path").alias("above"))
+    while True:
+        above = level.select(*keys, F.col("wbs_seq").alias("parent_seq"), (F.col("depth") + 1).alias("depth"), F.col("path").alias("above"), F.col("places").alias("over"))
         same = [F.col(f"r.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
         level = rest.alias("r").join(above.alias("a"), [*same, F.col("r.parent_seq") == F.col("a.parent_seq")]).select(
-            "r.*", F.lit(depth).alias("depth"), F.concat("a.above", F.array("r.wbs_id")).alias("path"), F.lit(False).alias("is_root")
+            "r.*", "a.depth", F.concat("a.above", F.array("r.wbs_id")).alias("path"), F.concat("a.over", F.array("r.wbs_seq")).alias("places"), F.lit(False).alias("is_root")
         )
+        level = stash(level, "wbs-level")
         if level.isEmpty():
-            break
+            return out.drop("parent_seq")
         out = out.unionByName(level)
-    return out.drop("parent_seq")
+
+
+def wbs_names(wbs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, wbs_id, wbs_name) of nodes that hang on a root and have a name; of equal ids the last in the order of a walk from the roots."""
+    tree = wbs_tree(wbs, keys)
+    # A walk from the roots takes siblings in the order of the file: the places along the way order its nodes.
+    known = tree.where("wbs_id <> '' and name <> ''")
+    return known.groupBy(*keys, "wbs_id").agg(F.max_by("name", F.col("places")).alias("wbs_name"))

@@ -9,15 +9,18 @@ stage forms all pairs of a project.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations, groupby
+from math import log
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.functions.text import normal_name, rounded, similarity
-from planweave.operators.graph import durable
+from planweave.operators.graph import by_key
 from planweave.operators.normalize import NONE, key_of, last_wins
+from planweave.storage import stash, written
 
 #: Change name <- activity column.
 COMPARED = {
@@ -28,6 +31,8 @@ NAME_WEIGHT = 0.70
 #: Weight of each signal of context.
 SAME = {"code": 0.15, "wbs_id": 0.15, "target_start": 0.05, "target_finish": 0.05, "remaining_duration_hours": 0.05}
 SHARED = {"preds": 0.10, "succs": 0.10, "near_names": 0.10}
+#: Signals that many activities of a project have in common; alone they demand names that are nearly equal.
+COMMON = ("target_start", "target_finish", "remaining_duration_hours")
 
 
 @dataclass(frozen=True)
@@ -65,11 +70,17 @@ def wbs_name_matches(before: DataFrame, after: DataFrame) -> DataFrame:
     return first.join(single, ["pk", "wk", "nk"]).select("pk", "b_seq", "a_seq")
 
 
-def neighbours(relationships: DataFrame) -> DataFrame:
-    """(pk, ak, preds, succs): sets of neighbouring ids of every id that an edge names, from all edges; a null id is a key too."""
-    pk = key_of("project_id").alias("pk")
-    into = relationships.where("predecessor_id <> ''").select(pk, key_of("successor_id").alias("ak"), F.col("predecessor_id").alias("p"), F.lit(None).cast("string").alias("s"))
-    out = relationships.where("successor_id <> ''").select(pk, key_of("predecessor_id").alias("ak"), F.lit(None).cast("string").alias("p"), F.col("successor_id").alias("s"))
+def neighbours(relationships: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(pk, ak, preds, succs): sorted sets of neighbouring ids of every id that an edge names, from all edges; a null id is a key too.
+
+    ids (pk, id, to): neighbours go by the id `to` where there is one.
+    """
+    ends = relationships.select(key_of("project_id").alias("pk"), "predecessor_id", "successor_id", F.col("predecessor_id").alias("p"), F.col("successor_id").alias("s"))
+    for end in ("p", "s") if ids is not None else ():
+        ends = ends.join(ids.select("pk", F.col("id").alias(end), F.col("to").alias(f"to_{end}")), ["pk", end], "left").withColumn(end, F.coalesce(f"to_{end}", end))
+    none = F.lit(None).cast("string")
+    into = ends.where("predecessor_id <> ''").select("pk", key_of("successor_id").alias("ak"), "p", none.alias("s"))
+    out = ends.where("successor_id <> ''").select("pk", key_of("predecessor_id").alias("ak"), none.alias("p"), "s")
     return into.unionByName(out).groupBy("pk", "ak").agg(F.array_sort(F.collect_set("p")).alias("preds"), F.array_sort(F.collect_set("s")).alias("succs"))
 
 
@@ -88,24 +99,45 @@ def _with_near_names(activities: DataFrame, every: DataFrame) -> DataFrame:
     return activities.join(met, ["pk", "act_seq"], "left").withColumn("near_names", F.coalesce("near_names", F.array().cast("array<string>")))
 
 
+def _size_class(length: Column, least_ratio: float) -> Column:
+    """A class of name lengths: names that can have a ratio of least_ratio are in one class or in neighbouring ones."""
+    shorter = least_ratio / (2 - least_ratio)  # of the longer one's length
+    return F.when(length == 0, -9).otherwise(F.floor(F.log(length.cast("double")) / -log(shorter) + 1e-9)).cast("long")
+
+
 def fuzzy_candidates(before: DataFrame, after: DataFrame, config: MatchConfig) -> DataFrame:
-    """(pk, b_seq, a_seq): pairs that share a signal; without one a pair scores NAME_WEIGHT at most.
+    """(pk, b_seq, a_seq): every pair that can be accepted or count as a rival, and others that share a signal.
 
-    Such a pair can neither be accepted nor come so near to an accepted one that it counts
-    as a rival, while the configuration keeps to that; else all pairs of a project are formed.
+    A pair whose score stays below threshold less margin is neither. Pairs meet in
+    equi-joins: on each signal that lifts them far, and on each combination of the
+    common ones together with a class of name lengths, as pairs that share no
+    other signal need the more alike names the fewer of these they share. Where
+    the configuration lets pairs without any signal matter, lengths alone are the key.
     """
-    if config.threshold <= NAME_WEIGHT or config.threshold - config.margin < NAME_WEIGHT - 1e-9:
-        return before.select("pk", F.col("act_seq").alias("b_seq")).join(after.select("pk", F.col("act_seq").alias("a_seq")), "pk")
+    least = config.threshold - config.margin
+    keys: list[tuple[str, list[Column], float | None]] = [(c, [F.when(F.col(c) != "", F.col(c))], None) for c in SAME if c not in COMMON]
+    for n in range(1 if least >= NAME_WEIGHT - 1e-9 else 0, len(COMMON) + 1):
+        for own in combinations(COMMON, n):
+            ratio = (least - sum(SAME[c] for c in own) - 1e-9) / NAME_WEIGHT
+            keys.append(("+".join(own), [F.when(F.col(c) != "", F.col(c)) for c in own], ratio if ratio > 0.05 else None))
 
     def tagged(c: str) -> Column:
         return F.transform(c, lambda x: F.concat(F.lit(f"{c}\0"), x))
 
-    def signals(df: DataFrame, seq: str) -> DataFrame:
-        one = [F.when(F.col(c) != "", F.array(F.concat(F.lit(f"{c}\0"), c))) for c in SAME]
-        many = [tagged(c) for c in SHARED]
-        return df.select("pk", F.col("act_seq").alias(seq), F.explode(F.flatten(F.array_compact(F.array(*one, *many)))).alias("signal"))
+    def signals(df: DataFrame, seq: str, spread: bool) -> DataFrame:
+        size = F.char_length(normal_name(F.col("name")))
+        found = []
+        for name, values, ratio in keys:
+            key = F.concat(F.lit(f"{name}\0"), *[x for v in values for x in (v, F.lit("\0"))])
+            if ratio is None:
+                found.append(F.array(key))
+            else:
+                near = (-1, 0, 1) if spread else (0,)
+                found.append(F.array(*[F.concat(key, (_size_class(size, min(ratio, 0.999)) + d).cast("string")) for d in near]))
+        found += [tagged(c) for c in SHARED]
+        return df.select("pk", F.col("act_seq").alias(seq), F.explode(F.array_compact(F.array_distinct(F.flatten(F.array(*found))))).alias("signal"))
 
-    return signals(before, "b_seq").join(signals(after, "a_seq"), ["pk", "signal"]).select("pk", "b_seq", "a_seq").distinct()
+    return signals(before, "b_seq", True).join(signals(after, "a_seq", False), ["pk", "signal"]).select("pk", "b_seq", "a_seq").distinct()
 
 
 def _context() -> Column:
@@ -117,58 +149,73 @@ def _context() -> Column:
     return score
 
 
-def fuzzy_scores(before: DataFrame, after: DataFrame, config: MatchConfig) -> DataFrame:
-    """(pk, b_seq, a_seq, score) of candidates that can matter; a bound by name lengths drops others before names are compared."""
+def scored_pairs(before: DataFrame, after: DataFrame, config: MatchConfig) -> DataFrame:
+    """(pk, b_seq, a_seq, bn, an, context): candidates that can matter by their context and the lengths of their names."""
     pairs = fuzzy_candidates(before, after, config).alias("p")
     met = pairs.join(before.alias("b"), (F.col("p.pk") == F.col("b.pk")) & (F.col("b_seq") == F.col("b.act_seq"))).join(
         after.alias("a"), (F.col("p.pk") == F.col("a.pk")) & (F.col("a_seq") == F.col("a.act_seq"))
     )
     met = met.select("p.pk", "b_seq", "a_seq", normal_name(F.col("b.name")).alias("bn"), normal_name(F.col("a.name")).alias("an"), _context().alias("context"))
-    total = F.length("bn") + F.length("an")
-    bound = F.when(total == 0, 1.0).otherwise(2 * F.least(F.length("bn"), F.length("an")) / total)
-    met = met.where(NAME_WEIGHT * bound + F.col("context") >= config.threshold - config.margin - 1e-9)
-    return met.select("pk", "b_seq", "a_seq", similarity(F.col("bn"), F.col("an"), F.col("context")).alias("score"))
+    total = F.char_length("bn") + F.char_length("an")
+    bound = F.when(total == 0, 1.0).otherwise(2 * F.least(F.char_length("bn"), F.char_length("an")) / total)
+    return met.where(NAME_WEIGHT * bound + F.col("context") >= config.threshold - config.margin - 1e-9)
+
+
+def fuzzy_scores(before: DataFrame, after: DataFrame, config: MatchConfig) -> DataFrame:
+    """(pk, b_seq, a_seq, score) of candidates that can matter."""
+    return scored_pairs(before, after, config).select("pk", "b_seq", "a_seq", similarity(F.col("bn"), F.col("an"), F.col("context")).alias("score"))
 
 
 def fuzzy_matches(before: DataFrame, after: DataFrame, scores: DataFrame, config: MatchConfig) -> DataFrame:
     """(pk, b_seq, a_seq, score, uncertain): one before after the other takes its best after that is left.
 
     What a before takes is gone for those behind it, so a project's candidates
-    are settled in sequence, in one group; they are few, since the two stages
-    before and the score bound have taken the rest.
+    are settled in sequence, in one task; they are few, since the two stages
+    before and the score bound have taken the rest, and they pass through in
+    order without being held together.
     """
     order = before.select("pk", F.col("act_seq").alias("b_seq"), F.coalesce("activity_id", F.lit("")).alias("o1"), F.coalesce("name", F.lit("")).alias("o2"))
     ranked = scores.join(order, ["pk", "b_seq"])
     threshold, margin = config.threshold, config.margin
 
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["o1", "o2", "b_seq", "score", "a_seq"], ascending=[True, True, True, False, True], kind="stable")
+    def settle(key: tuple, rows: list[dict]) -> Iterator[dict]:
         taken: set[int] = set()
-        out = []
-        for b, mine in rows.groupby("b_seq", sort=False):
-            left = [(s, a) for s, a in zip(mine["score"], mine["a_seq"], strict=True) if a not in taken]
-            if left and left[0][0] >= threshold:
-                taken.add(left[0][1])
-                out.append((rows["pk"].iloc[0], b, left[0][1], left[0][0], len(left) > 1 and left[0][0] - left[1][0] < margin))
-        return pd.DataFrame(out, columns=["pk", "b_seq", "a_seq", "score", "uncertain"])
+        for b, mine in groupby(rows, key=lambda r: r["b_seq"]):
+            left = [r for r in mine if r["a_seq"] not in taken]
+            if left and left[0]["score"] >= threshold:
+                taken.add(left[0]["a_seq"])
+                rival = len(left) > 1 and left[0]["score"] - left[1]["score"] < margin
+                yield {"pk": key[0], "b_seq": b, "a_seq": left[0]["a_seq"], "score": left[0]["score"], "uncertain": rival}
+
+    return by_key(ranked, ["pk"], ["o1", "o2", "b_seq", F.desc("score"), "a_seq"], settle, "pk string, b_seq long, a_seq long, score double, uncertain boolean")
 
-    return ranked.groupBy("pk").applyInPandas(settle, "pk string, b_seq long, a_seq long, score double, uncertain boolean")
+
+def residuals(before: DataFrame, after: DataFrame, before_rel: DataFrame, after_rel: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Matches of the first and the second stage, and what both leave of either side, with neighbours and their names."""
+    # Written, as each is used several times by the next ones: as plans they would double with every use.
+    exact = stash(exact_matches(before, after), "exact")
+    b1, a1 = stash(residual(before, exact, "b_seq"), "left"), stash(residual(after, exact, "a_seq"), "left")
+    named = stash(wbs_name_matches(b1, a1), "named")
+
+    def rest(left: DataFrame, seq: str, rel: DataFrame, every: DataFrame) -> DataFrame:
+        own = left.join(named.select("pk", F.col(seq).alias("act_seq")), ["pk", "act_seq"], "left_anti")
+        return stash(_with_near_names(with_neighbours(own, neighbours(rel)), every), "rest")
+
+    return exact, named, rest(b1, "b_seq", before_rel, before), rest(a1, "a_seq", after_rel, after)
 
 
 def match_pairs(before: DataFrame, after: DataFrame, before_rel: DataFrame, after_rel: DataFrame, config: MatchConfig = MatchConfig(), fuzzy: bool = True) -> DataFrame:
     """(pk, b_seq, a_seq, stage, confidence, uncertain) of all three stages."""
-    # Each stage is used several times by the next ones: as plans they would double with every use.
-    exact = durable(exact_matches(before, after))
-    b1, a1 = durable(residual(before, exact, "b_seq")), durable(residual(after, exact, "a_seq"))
-    named = durable(wbs_name_matches(b1, a1))
+    if fuzzy:
+        exact, named, b2, a2 = residuals(before, after, before_rel, after_rel)
+    else:
+        exact = stash(exact_matches(before, after), "exact")
+        named = wbs_name_matches(residual(before, exact, "b_seq"), residual(after, exact, "a_seq"))
     out = exact.withColumns({"stage": F.lit("id"), "confidence": F.lit(1.0), "uncertain": F.lit(False)}).unionByName(
         named.withColumns({"stage": F.lit("wbs_name"), "confidence": F.lit(0.98), "uncertain": F.lit(False)})
     )
     if not fuzzy:
         return out
-    b2 = _with_near_names(with_neighbours(b1.join(named.select("pk", F.col("b_seq").alias("act_seq")), ["pk", "act_seq"], "left_anti"), neighbours(before_rel)), before)
-    a2 = _with_near_names(with_neighbours(a1.join(named.select("pk", F.col("a_seq").alias("act_seq")), ["pk", "act_seq"], "left_anti"), neighbours(after_rel)), after)
-    b2, a2 = durable(b2), durable(a2)
     found = fuzzy_matches(b2, a2, fuzzy_scores(b2, a2, config), config)
     return out.unionByName(found.select("pk", "b_seq", "a_seq", F.lit("fuzzy").alias("stage"), rounded(F.col("score")).alias("confidence"), "uncertain"))
 
@@ -185,29 +232,25 @@ def compare_activities(before: DataFrame, after: DataFrame, before_rel: DataFram
     Columns: project_id, before_activity_id, after_activity_id, stage, status,
     confidence, field_changes, set_changes (predecessors, successors: sorted sets
     of ids, those of the before side carried over to the ids of the after side),
-    b_seq, a_seq.
+    b_seq, a_seq, and before_src, after_src, the raw records, where both sides have them.
     """
-    before, after, before_rel, after_rel = map(durable, (before, after, before_rel, after_rel))
-    pairs = durable(match_pairs(before, after, before_rel, after_rel, config, fuzzy))
-    b_all, a_all = before.withColumn("pk", key_of("project_id")), after.withColumn("pk", key_of("project_id"))
+    before, after, before_rel, after_rel = (written(x, "side") for x in (before, after, before_rel, after_rel))
+    pairs = stash(match_pairs(before, after, before_rel, after_rel, config, fuzzy), "pairs")
+    raw = "src" in before.columns and "src" in after.columns
+    wanted = [*COMPARED.values(), "activity_id", "act_seq", *["src"] * raw]
+    b_all, a_all = before.select(key_of("project_id").alias("pk"), *dict.fromkeys(wanted)), after.select(key_of("project_id").alias("pk"), *dict.fromkeys(wanted))
     both = b_all.select("pk").distinct().join(a_all.select("pk").distinct(), "pk", "left_semi")
-    b = with_neighbours(b_all, neighbours(before_rel))
+    named = pairs.join(b_all.select("pk", F.col("act_seq").alias("b_seq"), F.col("activity_id").alias("id")), ["pk", "b_seq"]).join(
+        a_all.select("pk", F.col("act_seq").alias("a_seq"), F.col("activity_id").alias("to")), ["pk", "a_seq"]
+    )
+    ids = named.where("id <> '' and to <> ''").groupBy("pk", "id").agg(F.max_by("to", "b_seq").alias("to"))
+    b = with_neighbours(b_all, neighbours(before_rel, ids))
     a = with_neighbours(a_all, neighbours(after_rel))
     met = pairs.alias("m").join(b.alias("b"), (F.col("m.pk") == F.col("b.pk")) & (F.col("m.b_seq") == F.col("b.act_seq"))).join(
         a.alias("a"), (F.col("m.pk") == F.col("a.pk")) & (F.col("m.a_seq") == F.col("a.act_seq"))
     )
-    ids = met.where("b.activity_id <> '' and a.activity_id <> ''").groupBy("m.pk", F.col("b.activity_id").alias("id")).agg(F.max_by("a.activity_id", "m.b_seq").alias("to"))
-
-    def carried(column: str, into: str) -> DataFrame:
-        one = met.select("m.pk", "m.b_seq", F.explode(f"b.{column}").alias("id")).join(ids, ["pk", "id"], "left")
-        return one.groupBy("pk", "b_seq").agg(F.array_sort(F.collect_set(F.coalesce("to", "id"))).alias(into))
-
-    empty = F.array().cast("array<string>")
-    met = met.select("m.*", F.struct("b.*").alias("b"), F.struct("a.*").alias("a"))
-    met = met.join(carried("preds", "old_preds"), ["pk", "b_seq"], "left").join(carried("succs", "old_succs"), ["pk", "b_seq"], "left")
     sets = [
-        F.struct(F.lit("predecessors").alias("key"), F.struct(F.coalesce("old_preds", empty).alias("before"), F.col("a.preds").alias("after")).alias("value")),
-        F.struct(F.lit("successors").alias("key"), F.struct(F.coalesce("old_succs", empty).alias("before"), F.col("a.succs").alias("after")).alias("value")),
+        F.struct(F.lit(name).alias("key"), F.struct(F.col(f"b.{c}").alias("before"), F.col(f"a.{c}").alias("after")).alias("value")) for name, c in (("predecessors", "preds"), ("successors", "succs"))
     ]
     met = met.withColumns({"field_changes": field_changes(), "set_changes": F.map_from_entries(F.filter(F.array(*sets), lambda x: x["value"]["before"] != x["value"]["after"]))})
     changed = F.size("field_changes") + F.size("set_changes")
@@ -217,13 +260,15 @@ def compare_activities(before: DataFrame, after: DataFrame, before_rel: DataFram
         .when((F.col("stage") == "fuzzy") & ~F.col("b.name").eqNullSafe(F.col("a.name")) & only_name, "POSSIBLE_RENAME")
         .when(changed == 0, "UNCHANGED").otherwise("MODIFIED")
     )
-    columns = ["pk", "before_activity_id", "after_activity_id", "stage", "status", "confidence", "field_changes", "set_changes", "b_seq", "a_seq"]
-    met = met.withColumns({"status": status, "before_activity_id": F.col("b.activity_id"), "after_activity_id": F.col("a.activity_id")}).select(*columns)
-
-    def alone(df: DataFrame, side: str, other: str, name: str, status: str) -> DataFrame:
-        rest = df.join(both, "pk", "left_semi").join(pairs.select("pk", F.col(f"{side}_seq").alias("act_seq")), ["pk", "act_seq"], "left_anti")
-        return rest.select("pk", F.col("activity_id").alias(name), F.lit(status).alias("status"), F.lit(1.0).alias("confidence"), F.col("act_seq").alias(f"{side}_seq"))
-
-    out = met.unionByName(alone(a_all, "a", "b", "after_activity_id", "ADDED"), allowMissingColumns=True)
-    out = out.unionByName(alone(b_all, "b", "a", "before_activity_id", "DELETED"), allowMissingColumns=True)
-    return durable(out.withColumn("project_id", F.nullif("pk", F.lit(NONE))).drop("pk"))
+    out = met.select(
+        "m.pk", F.col("b.activity_id").alias("before_activity_id"), F.col("a.activity_id").alias("after_activity_id"), "stage", status.alias("status"), "confidence",
+        "field_changes", "set_changes", "b_seq", "a_seq", *[F.col(f"{x}.src").alias(f"{side}_src") for x, side in (("b", "before"), ("a", "after")) if raw],
+    )
+
+    def alone(df: DataFrame, side: str, name: str, status: str) -> DataFrame:
+        rest = df.join(both, "pk", "left_semi").join(pairs.select("pk", F.col(f"{side[0]}_seq").alias("act_seq")), ["pk", "act_seq"], "left_anti")
+        return rest.select("pk", F.col("activity_id").alias(name), F.lit(status).alias("status"), F.lit(1.0).alias("confidence"), F.col("act_seq").alias(f"{side[0]}_seq"), *[F.col("src").alias(f"{side}_src")] * raw)
+
+    out = out.unionByName(alone(a_all, "after", "after_activity_id", "ADDED"), allowMissingColumns=True)
+    out = out.unionByName(alone(b_all, "before", "before_activity_id", "DELETED"), allowMissingColumns=True)
+    return out.withColumn("project_id", F.nullif("pk", F.lit(NONE))).drop("pk")

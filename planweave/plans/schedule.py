@@ -9,11 +9,35 @@ moved dates, added activities, dropped and altered edges, cycles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planweave.operators import evidence
+from planweave.storage import stash
+
+#: What a session has derived from a folder of tables, by name: both versions, their edges and what was found by comparing them.
+_HELD: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written to the shared folder once in a session and folder of tables; forget() starts anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _HELD:
+        _HELD[key] = stash(make(), name)
+    return _HELD[key]
+
+
+def forget() -> None:
+    _HELD.clear()
+
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held(spark, sf_dir, "lines", lambda: _all_lines(spark, sf_dir))
+
+
+def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     of_order = Window.partitionBy("l_orderkey")
     line = read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_linestatus", "l_shipdate")
@@ -22,8 +46,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = orders.withColumn("next_order", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
     part = read("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     met = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, "l_partkey")
-    # Both versions and their edges are derived from these rows; an equal plan finds them again.
-    return met.withColumn("k", F.col("l_orderkey") * 100 + F.col("n")).persist()
+    met = met.withColumn("k", F.col("l_orderkey") * 100 + F.col("n"))
+    return met.select("k", "n", "m", "l_orderkey", "l_partkey", "l_quantity", "l_linestatus", "l_shipdate", "o_custkey", "o_orderdate", "next_order", "p_name")
 
 
 def _id(letter: str, k: Column) -> Column:
@@ -35,6 +59,10 @@ def _new_id(k: Column) -> Column:
 
 
 def activities(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    return held(spark, sf_dir, f"activities-{side}", lambda: _activities(spark, sf_dir, side))
+
+
+def _activities(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     t, k = _lines(spark, sf_dir), F.col("k")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     none = F.lit(None).cast("string")
@@ -63,8 +91,28 @@ def activities(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     return kept.unionByName(added).drop("k", "ship", "n")
 
 
-def relationships(spark: SparkSession, sf_dir: str, side: str, known: DataFrame | None = None) -> DataFrame:
+def relationships(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Edges; resolved tells whether both ends are activities of the side, of any project."""
+    return held(spark, sf_dir, f"relationships-{side}", lambda: _relationships(spark, sf_dir, side))
+
+
+def with_records(df: DataFrame) -> DataFrame:
+    """Activities, edges or projects of the versions with the raw record that they would have in an export."""
+    c = F.col
+    if "act_seq" in df.columns:
+        return df.withColumn("src", evidence.record("TASK", c("act_seq"), {"task_id": c("activity_id"), "task_name": c("name"), "status_code": c("status")}))
+    if "rel_seq" in df.columns:
+        cells = {"task_id": c("successor_id"), "pred_task_id": c("predecessor_id"), "pred_type": c("relationship_type"), "lag_hr_cnt": c("lag_hours")}
+        return df.withColumn("src", evidence.record("TASKPRED", c("rel_seq"), cells))
+    return df.withColumn("src", evidence.record("PROJECT", c("project_seq"), {"proj_id": c("project_id"), "proj_name": c("name")}))
+
+
+def raw_edges(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """The edges of a version as an export has them: project and resolution are still to be found."""
+    return _edges(spark, sf_dir, side).select(F.lit(side).alias("source_id"), "rel_seq", "predecessor_id", "successor_id", "relationship_type", "lag_hours")
+
+
+def _edges(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     t, k = _lines(spark, sf_dir), F.col("k")
     name = _new_id if side == "after" else lambda x: _id("A", x)
     inside = F.col("n") < F.col("m")
@@ -85,6 +133,11 @@ def relationships(spark: SparkSession, sf_dir: str, side: str, known: DataFrame
                 name(F.col("l_orderkey") * 100 + 1).alias("successor_id"), F.lit("PR_FS").alias("relationship_type"), F.lit("0").alias("lag_hours"),
             )
         )
+    return edges
+
+
+def _relationships(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    edges = _edges(spark, sf_dir, side)
     ids = activities(spark, sf_dir, side).select("activity_id").distinct()
     for end in ("predecessor_id", "successor_id"):
         edges = edges.join(ids.select(F.col("activity_id").alias(end), F.lit(True).alias(f"has_{end}")), end, "left")

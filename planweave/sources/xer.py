@@ -8,7 +8,10 @@ lines, so files are independent and any number is read in parallel.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
+from os import PathLike, fspath
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,11 +48,12 @@ def decoded(content: Column) -> Column:
 
 @dataclass
 class Exports:
-    """records: source_id, table, rec_idx, line_number, fields, values, raw_line, rec (map), extra. diagnostics: source_id, line_number, message, raw_line."""
+    """records: source_id, table, rec_idx, line_number, fields, values, raw_line, rec (map), extra. diagnostics: source_id, line_number, message, raw_line. tables: source_id, table, also those without records."""
 
     records: DataFrame
     diagnostics: DataFrame
     sources: DataFrame
+    tables: DataFrame
 
     def table(self, name: str) -> DataFrame:
         return self.records.where(F.col("table") == name)
@@ -96,14 +100,24 @@ def parse_text(texts: DataFrame) -> Exports:
         "line_number", "fields", values.alias("values"), "raw_line", F.map_from_entries(last).alias("rec"),
         F.when(n - 1 > wide, F.array_join(F.slice(values, wide + 1, F.greatest(n - 1 - wide, F.lit(0))), "\t")).alias("extra"),
     )
-    return Exports(rows, diagnostics, texts.select("source_id"))
+    return Exports(rows, diagnostics, texts.select("source_id"), latest.select("source_id", "table"))
 
 
-def read_exports(spark: SparkSession, *paths: str, max_bytes: int | None = None) -> Exports:
-    """Exports from files; source_id is the path. A path that doesn't exist is an error."""
+class InvalidExport(ValueError):
+    """Input that is no export: empty, too large, or without projects."""
+
+
+def read_files(spark: SparkSession, *paths: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, length, source_id, content) of files; source_id is the SHA-256 of the content. A path that doesn't exist is an error, and so is a file of more than max_bytes."""
     files = spark.read.format("binaryFile").load(list(paths))
-    if max_bytes:
-        files = files.where(F.col("length") <= max_bytes)
+    if max_bytes is not None and (large := files.where(F.col("length") > max_bytes).select("path").orderBy("path").limit(5).collect()):
+        raise InvalidExport(f"larger than {max_bytes} bytes: {', '.join(r.path for r in large)}")
+    return files.select("path", "length", F.sha2("content", 256).alias("source_id"), "content")
+
+
+def read_exports(spark: SparkSession, *paths: str, max_bytes: int | None = None) -> Exports:
+    """Exports from files; source_id is the path."""
+    files = read_files(spark, *paths, max_bytes=max_bytes)
     return parse_text(files.select(F.col("path").alias("source_id"), decoded(F.col("content")).alias("text")))
 
 
@@ -113,6 +127,33 @@ def parse_bytes(spark: SparkSession, exports: dict[str, bytes]) -> Exports:
     return parse_text(frame.select("source_id", decoded(F.col("content")).alias("text")))
 
 
+def parse(spark: SparkSession, source: str | bytes | PathLike) -> Exports:
+    """An export from bytes, from a path, or from a text: a string that has a line end is a text, any other one is a path."""
+    if isinstance(source, bytes | bytearray):
+        return parse_bytes(spark, {hashlib.sha256(source).hexdigest(): bytes(source)})
+    if isinstance(source, str) and re.search(LINE_ENDS, source):
+        frame = spark.createDataFrame([(hashlib.sha256(source.encode("utf-8", "surrogatepass")).hexdigest(), source)], "source_id string, text string")
+        return parse_text(frame)
+    return read_exports(spark, fspath(source))
+
+
+def validate(exports: Exports) -> Exports:
+    """exports, if there are any and each of them declares projects."""
+    declared = exports.tables.where("table = 'PROJECT'").select("source_id")
+    if bad := exports.sources.join(declared, "source_id", "left_anti").limit(5).collect():
+        raise InvalidExport(f"no project records: {', '.join(str(r.source_id) for r in bad)}")
+    if exports.sources.isEmpty():
+        raise InvalidExport("no exports")
+    return exports
+
+
+def uploadable(files: DataFrame, max_bytes: int = 25 << 20) -> DataFrame:
+    """files (path, length) with `refused`: why a file would not be taken, else null."""
+    return files.withColumn(
+        "refused", F.when(~F.lower("path").endswith(".xer"), "not an .xer file").when(F.col("length") > max_bytes, "too large").when(F.col("length") == 0, "empty")
+    )
+
+
 def synthetic_export(spark: SparkSession, activities: int) -> DataFrame:
     """source_id and text of an export of one project with that many activities and edges to the three after each."""
     ids = spark.range(activities)
