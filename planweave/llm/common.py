@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planweave.storage import discard, new_path, shared_dir, stash
+
+__all__ = ["ARROW_BATCH_BYTES", "bound_arrow_batches", "byte_groups", "discard", "free_name", "new_path", "repeated", "shared_dir", "stash"]
 
 #: Bytes of text that one Arrow batch may hold on its way to a Python worker.
 ARROW_BATCH_BYTES = 8 << 20
@@ -17,35 +20,6 @@ def bound_arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="planweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/planweave-{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage is cut, and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stashed_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what stash() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, or wanted with underscores, such that no column of df has that name."""
     taken = {c.lower() for c in df.columns}
@@ -54,6 +28,25 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: Rows that one step of repeated() makes of a row at a time.
+COPIES = 4096
+
+
+def repeated(df: DataFrame, count: str, into: str) -> DataFrame:
+    """Every row of df `count` times, numbered from 0 in `into`; rows with a count of 0 go.
+
+    A row with very many copies is cut into pieces first, which are dealt to all
+    tasks, so no array or task grows with the copies of one row.
+    """
+    small = df.where(F.col(count) <= COPIES).withColumn(into, F.explode(F.sequence(F.lit(1), F.col(count)))).where(F.col(count) > 0)
+    small = small.withColumn(into, (F.col(into) - 1).cast("long"))
+    piece = free_name(df, "piece")
+    large = df.where(F.col(count) > COPIES).withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / COPIES))))
+    large = large.repartition(F.col(piece), F.xxhash64(*df.columns))
+    steps = F.sequence(F.col(piece) * COPIES, F.least((F.col(piece) + 1) * COPIES, F.col(count)) - 1)
+    return small.unionByName(large.withColumn(into, F.explode(steps)).drop(piece))
+
+
 def byte_groups(texts: list[bytes], limit: int = 4 << 20) -> Iterator[list[int]]:
     """Indices of consecutive texts of about limit bytes in all; a longer text stands alone."""
     group: list[int] = []

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from planweave.llm.common import bound_arrow_batches, free_name
 from planweave.llm.compression_rules import CONTINUATION, SPACES, SYMBOLS
-from planweave.llm.labelled import labelled_keys
+from planweave.llm.labelled import labelled_keys, texts_of
 
 #: The bound of the sample, in texts of each label.
 PER_CLASS = 2500
@@ -102,6 +102,15 @@ class FactorisationMachine:
         squares = np.add.reduceat((xv**2).sum(axis=1), starts)
         return self.bias + np.add.reduceat(self.w[place] * value, starts) + 0.5 * ((total**2).sum(axis=1) - squares)
 
+    def gradients(self, place: np.ndarray, value: np.ndarray, starts: np.ndarray, row: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The inputs that are met, and the slopes of the weighted logistic loss by their weights and vectors, and by the bias."""
+        d = (0.5 * (1 + np.tanh(0.5 * self.margins(place, value, starts))) - label) * weight
+        at = d[row] * value
+        total = np.add.reduceat(self.v[place] * value[:, None], starts)
+        used, back = np.unique(place, return_inverse=True)
+        dv = np.stack([np.bincount(back, at * (total[row, f] - self.v[place, f] * value)) for f in range(RANK)], axis=1)
+        return used, np.bincount(back, at), dv, float(d.sum())
+
     def train(self, texts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: np.ndarray, seed: int = SEED) -> FactorisationMachine:
         """Adaptive gradient steps on the weighted logistic loss."""
         if not len(texts):
@@ -118,19 +127,14 @@ class FactorisationMachine:
                 value = np.concatenate([texts[i][1] for i in part])
                 sizes = np.array([len(texts[i][0]) for i in part])
                 starts, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(part)), sizes)
-                z = self.margins(place, value, starts)
-                d = (0.5 * (1 + np.tanh(0.5 * z)) - label[part]) * weight[part] / weight[part].sum()
-                at = d[row] * value
-                total = np.add.reduceat(self.v[place] * value[:, None], starts)
-                used, back = np.unique(place, return_inverse=True)
-                dw = np.bincount(back, at) + DECAY * self.w[used]
-                dv = np.stack([np.bincount(back, at * (total[row, f] - self.v[place, f] * value)) for f in range(RANK)], axis=1) + DECAY * self.v[used]
+                used, dw, dv, db = self.gradients(place, value, starts, row, label[part], weight[part] / weight[part].sum())
+                dw, dv = dw + DECAY * self.w[used], dv + DECAY * self.v[used]
                 g_w[used] += dw**2
                 g_v[used] += dv**2
-                g_b += d.sum() ** 2
+                g_b += db**2
                 self.w[used] -= RATE * dw / np.sqrt(g_w[used])
                 self.v[used] -= RATE * 0.5 * dv / np.sqrt(g_v[used])
-                self.bias -= RATE * d.sum() / np.sqrt(g_b)
+                self.bias -= RATE * db / np.sqrt(g_b)
         return self
 
 
@@ -153,14 +157,16 @@ def _extract(metadata: int):
     return F.arrow_udf(extract, "ids binary, values binary, stats binary").asNondeterministic()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text_col: str = "text", metadata: Sequence[str] = ()) -> FactorisationMachine:
-    """A machine from up to PER_CLASS texts of each label, weighted back to the labels' shares; none is of the held-out fold."""
-    keys, counts = labelled_keys(labels, label, PER_CLASS, key)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text_col: str = "text", metadata: Sequence[str] = (), per_class: int = PER_CLASS) -> FactorisationMachine:
+    """A machine from up to per_class texts of each label, weighted back to the labels' shares; none is of the held-out fold.
+
+    per_class bounds the labelled sample, the only thing that is sampled. Labels of
+    a key that comes several times count once, with one of its texts. Without labels the machine is that of its first state.
+    """
+    keys, counts = labelled_keys(labels, label, per_class, key)
     bound_arrow_batches(docs.sparkSession)
     more = [F.col(m).cast("double").alias(f"m_{i}") for i, m in enumerate(metadata)]
-    source = docs.select(F.col(key), F.col(text_col), *more)
-    met = source.select(F.col(key).alias("l_key"), F.col(text_col).cast("binary").alias("text"), *[f"m_{i}" for i in range(len(more))])
-    met = met.join(F.broadcast(keys), "l_key").dropDuplicates(["l_key"])
+    met = texts_of(docs, keys, key, text_col, *more)
     got = met.select("l_key", "label", _extract(len(more))("text", *[f"m_{i}" for i in range(len(more))]).alias("x")).orderBy("l_key").collect()
     stats = [np.frombuffer(bytes(r.x.stats), np.float64) for r in got]
     width = len(STATISTICS) + len(more)
@@ -183,7 +189,7 @@ def score_texts(docs: DataFrame, machine: FactorisationMachine, text_col: str =
     """docs with a score from 0 to 1, higher for texts that are likelier good; one pass, no shuffle.
 
     Null texts count as empty: they have statistics but no words. A missing metadata value has a bin of
-    its own. Repeated rows get equal scores. A name clash gives the new column a
+    its own. Repeated rows get equal scores, and very long texts are read whole. A name clash gives the new column a
     leading underscore.
     """
     bound_arrow_batches(docs.sparkSession)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
@@ -24,7 +24,12 @@ def labelled_keys(labels: DataFrame, label: str, per_class: int, key: str = "doc
     return picked[0].unionByName(picked[1]), counts
 
 
-def texts_of(docs: DataFrame, keys: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """keys (l_key and more) with the text of one row of docs each; keys must have a bounded number of rows."""
-    met = docs.select(F.col(key).alias("l_key"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(keys), "l_key")
-    return met.dropDuplicates(["l_key"])
+def texts_of(docs: DataFrame, keys: DataFrame, key: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """keys (l_key and more) with the text, and more columns, of one row of docs each; keys must have a bounded number of rows.
+
+    Of rows with one key but different texts the one with the least hash is taken, so reruns agree.
+    """
+    body = F.struct(F.col(text_col).cast("binary").alias("text"), *more)
+    met = docs.select(F.col(key).alias("l_key"), body.alias("body")).join(F.broadcast(keys), "l_key")
+    first = met.groupBy("l_key").agg(F.min_by("body", F.xxhash64("body")).alias("body"), *[F.first(c).alias(c) for c in keys.columns if c != "l_key"])
+    return first.select("l_key", *[c for c in keys.columns if c != "l_key"], "body.*")

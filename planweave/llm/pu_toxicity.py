@@ -6,13 +6,17 @@ unlabelled ones less pi times that on confirmed ones taken as clean. A flexible
 model can drive this difference below zero, which no true risk is; the
 non-negative estimator stops there and steps back.
 
-Features are words and the beginnings of words that a text holds, with or
-without repeats; a linear model over those that the sample holds often enough.
-Training runs in numpy on a bounded sample, scoring in Arrow functions.
+Features are words and the beginnings of words that a text holds, and once more
+those that it holds often. How many texts hold a feature is counted over all of the training
+part; those that confirmed texts hold markedly more or less often make the
+dictionary. All unlabelled texts train: they are dealt out in portions, each of
+which trains a linear model in numpy against all confirmed texts, and the models'
+weights are averaged. Scoring runs in Arrow functions.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +27,23 @@ from pyspark.sql import functions as F
 from planweave.llm.common import bound_arrow_batches, free_name, stash
 from planweave.llm.labelled import fold, labelled_keys, texts_of
 
-#: The bounds of the sample, in texts, and of the dictionary, in features.
+#: Confirmed texts that are learned from, at most, and features of the dictionary, those that are furthest apart.
 CONFIRMED = 2500
-UNLABELLED = 5000
 FEATURES = 20_000
-#: Texts of the sample that must hold a feature.
+#: Texts that must hold a feature.
 LEAST_TEXTS = 4
 #: Squared deviations that a feature must be apart between confirmed and other texts; by chance, one in ten thousand is.
 LEAST_APART = 15.0
+#: Unlabelled texts of a portion, about, and portions' tasks at most; a task then trains several.
+PORTION = 4000
+MAX_TASKS = 20_000
+#: Distinct features that a task counts before it hands them on.
+FLUSH = 400_000
+#: Features that go to one place to be averaged.
+CHUNK = 1024
 STEMS = (4, 5)
+#: Words of a text among which a repeated feature must be one to count as frequent.
+DENSE = 100
 STEPS = 250
 RATE = 0.05
 DECAY = 2e-4
@@ -46,14 +58,68 @@ def word_features(word: bytes) -> list[str]:
     return [text, *(f"{text[:k]}*" for k in STEMS if len(text) >= k)]
 
 
-def features(text: bytes | None) -> set[str]:
-    return {f for w in set(text.translate(LETTERS).split()) for f in word_features(w)} if text else set()
+class FeatureSets:
+    """The features of texts; what a word gives is kept for a bounded number of words.
 
+    A text that holds a feature more than once, and in one word of DENSE at
+    least, holds a second one, the same with a plus.
+    """
+
+    def __init__(self, wanted: set[str] | None = None) -> None:
+        self.known: dict[bytes, list[str]] = {}
+        # The features that matter by themselves or with a plus.
+        self.wanted = wanted
+        self.roots = None if wanted is None else {f.removesuffix("+") for f in wanted}
+
+    def of(self, text: bytes | None) -> set[str]:
+        words = text.translate(LETTERS).split() if text else []
+        held: dict[str, int] = {}
+        for w, n in Counter(words).items():
+            own = self.known.get(w)
+            if own is None:
+                if len(self.known) >= KEPT_WORDS:
+                    self.known.clear()
+                own = word_features(w)
+                if self.roots is not None:
+                    own = [f for f in own if f in self.roots]
+                self.known[w] = own
+            for f in own:
+                held[f] = held.get(f, 0) + n
+        least = max(2, len(words) / DENSE)
+        out = {f"{f}+" for f, n in held.items() if n >= least}
+        out.update(held)
+        return out if self.wanted is None else out & self.wanted
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """f, n, k: how many texts of the corpus hold a feature, and how many confirmed ones."""
+    sets, held = FeatureSets(), (Counter(), Counter())
+
+    def flush() -> pa.RecordBatch:
+        names = list(held[0] | held[1])
+        k = [held[1][f] for f in names]
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([held[0][f] for f in names], pa.int64()), pa.array(k, pa.int64())], ["f", "n", "k"])
+        for c in held:
+            c.clear()
+        return out
 
-def _listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        for k in range(0, len(batch), 64):
-            yield pa.array([sorted(features(x)) for x in batch.slice(k, 64).to_pylist()], pa.list_(pa.string()))
+        for text, positive in zip(batch.column("text").to_pylist(), batch.column("positive").to_pylist(), strict=True):
+            held[positive].update(sets.of(text))
+            if len(held[0]) > FLUSH:
+                yield flush()
+    if held[0] or held[1]:
+        yield flush()
+
+
+def _numbered(shared):
+    def numbered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = shared.value
+        sets = FeatureSets(set(names))
+        for batch in batches:
+            yield pa.array([np.array(sorted(names[f] for f in sets.of(x)), np.int32).tobytes() for x in batch.to_pylist()], pa.binary())
+
+    return F.arrow_udf(numbered, "binary").asNondeterministic()
 
 
 class LinearModel:
@@ -61,19 +127,22 @@ class LinearModel:
 
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.weights, self.bias = {f: w for f, w in weights.items() if abs(w) > 1e-4}, bias
-        self.known: dict[bytes, list[str]] = {}
+        self.sets: FeatureSets | None = None
 
     def margin(self, text: bytes | None) -> float:
-        held: set[str] = set()
-        known, weights = self.known, self.weights
-        for w in set(text.translate(LETTERS).split()) if text else ():
-            own = known.get(w)
-            if own is None:
-                if len(known) >= KEPT_WORDS:
-                    known.clear()
-                own = known[w] = [f for f in word_features(w) if f in weights]
-            held.update(own)
-        return self.bias + sum(weights[f] for f in sorted(held))  # one order: reruns agree to the last bit
+        self.sets = self.sets or FeatureSets(set(self.weights))
+        return self.bias + sum(self.weights[f] for f in sorted(self.sets.of(text)))  # one order: reruns agree to the last bit
+
+
+def clean_and_slope(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The risk on clean texts, and the slopes by z of what is made smaller: all of the risk, or the negative of a clean risk below 0."""
+    n_pos, n_un = positive.sum(), (~positive).sum()
+    up = 0.5 * (1 + np.tanh(0.5 * z))  # the sigmoid; also the slope of the loss of taking a text as clean
+    clean_loss = np.logaddexp(0, z)
+    clean_risk = clean_loss[~positive].sum() / n_un - prior * clean_loss[positive].sum() / n_pos
+    if clean_risk >= 0:
+        return clean_risk, np.where(positive, prior * (up - 1) / n_pos - prior * up / n_pos, up / n_un)
+    return clean_risk, np.where(positive, prior * up / n_pos, -up / n_un)  # back out of what no true risk can be
 
 
 def train(ids: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
@@ -84,17 +153,10 @@ def train(ids: list[np.ndarray], positive: np.ndarray, n_features: int, prior: f
     flat = np.concatenate(ids)
     sizes = np.array([len(x) for x in ids])
     row = np.repeat(np.arange(len(ids)), sizes)
-    n_pos, n_un = positive.sum(), (~positive).sum()
     first, second, b_first, b_second = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(row, w[flat], len(ids))
-        up = 0.5 * (1 + np.tanh(0.5 * z))  # the sigmoid; also the slope of the loss of taking a text as clean
-        clean_loss = np.logaddexp(0, z)
-        clean_risk = clean_loss[~positive].sum() / n_un - prior * clean_loss[positive].sum() / n_pos
-        if clean_risk >= 0:
-            g = np.where(positive, prior * (up - 1) / n_pos - prior * up / n_pos, up / n_un)
-        else:  # back out of what no true risk can be
-            g = np.where(positive, prior * up / n_pos, -up / n_un)
+        _, g = clean_and_slope(z, positive, prior)
         grad = np.bincount(flat, g[row], n_features) + DECAY * w
         b_grad = g.sum()
         first += 0.1 * (grad - first)
@@ -106,45 +168,108 @@ def train(ids: list[np.ndarray], positive: np.ndarray, n_features: int, prior: f
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text") -> LinearModel:
-    """A model from up to CONFIRMED confirmed texts and UNLABELLED others, none of them from the held-out fold.
+def _portions(shared, n_features: int, prior: float, portion: int):
+    """For each chunk of features: sums of the weights of a task's models, each times its texts; the last one has the bias and the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        confirmed = [np.frombuffer(x, np.int32) for x in shared.value]
+        total, held = np.zeros(n_features + 2), []
+
+        def learn() -> None:
+            if held:
+                ids = [*confirmed, *(np.frombuffer(x, np.int32) for x in held)]
+                w, bias = train(ids, np.arange(len(ids)) < len(confirmed), n_features, prior)
+                total.__iadd__(np.concatenate([w, [bias, 1.0]]) * len(held))
+                held.clear()
+
+        for batch in batches:
+            for x in batch.column("ids").to_pylist():
+                held.append(x)
+                if len(held) >= 2 * portion:
+                    learn()
+        learn()
+        if total[-1]:
+            for k in range(0, len(total), CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([total[k : k + CHUNK].tobytes()], pa.binary())], ["chunk", "body"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the bodies of each chunk; rows come sorted by chunk, and one sum is held."""
+    chunk, total = None, None
+    for batch in batches:
+        for k, body in zip(batch.column("chunk").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            own = np.frombuffer(body, np.float64)
+            if k == chunk:
+                total = total + own
+            else:
+                if chunk is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "body"])
+                chunk, total = k, own
+    if chunk is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "body"])
 
-    The prior is the share of confirmed texts among the labelled ones that may be seen.
+
+def dictionary(counted: DataFrame, n_pos: int, n_all: int, most: int = FEATURES, least_apart: float = LEAST_APART) -> dict[str, int]:
+    """Features (f, n, k) that confirmed texts hold markedly more or less often than all do, numbered.
+
+    How far k is from what n lets expect, squared, in variances; one is added to
+    what is expected, so that a few confirmed texts alone make no feature.
     """
-    keys, counts = labelled_keys(labels, label, CONFIRMED, key)
-    prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    confirmed = keys.where("label = 1").select("l_key", F.lit(True).alias("positive"))
-    others = docs.where(F.col(key).isNotNull() & (fold(key) != 0)).select(F.col(key).alias("l_key"))
-    others = others.orderBy(F.xxhash64(F.lit(1), "l_key"), "l_key").limit(UNLABELLED).distinct()
-    others = others.join(F.broadcast(confirmed), "l_key", "left_anti").withColumn("positive", F.lit(False))
-    sample = texts_of(docs, confirmed.unionByName(others), key, text_col)
-    held = stash(sample.select("l_key", "positive", F.arrow_udf(_listed, "array<string>").asNondeterministic()("text").alias("features")), "toxicity")
-    sizes = {r.positive: r.n for r in held.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_pos, n_all = sizes.get(True, 0), max(1, sum(sizes.values()))
-    often = held.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("k"))
-    # How far confirmed texts hold a feature more or less often than the sample does, squared, in variances.
-    share = F.col("n") / n_all
+    share = F.least(F.lit(1.0), F.col("n") / n_all)
     expected = share * n_pos
-    apart = (F.col("k") - expected) ** 2 / (expected * (1 - share) * (1 - n_pos / n_all) + 1e-9)
-    often = often.where(F.col("n") >= LEAST_TEXTS).withColumn("apart", apart).where(F.col("apart") >= LEAST_APART)
-    names = {r.f: i for i, r in enumerate(often.orderBy(F.desc("apart"), "f").limit(FEATURES).collect())}
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+    apart = (F.col("k") - expected) ** 2 / ((expected + 1) * (1 - share + 1e-9) * (1 - n_pos / n_all + 1e-9))
+    often = counted.where(F.col("n") >= LEAST_TEXTS).withColumn("apart", apart).where(F.col("apart") >= least_apart)
+    return {r.f: i for i, r in enumerate(often.orderBy(F.desc("apart"), "f").limit(most).collect())}
 
-    def numbered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ids = shared.value
-        for batch in batches:
-            yield pa.array([np.array([ids[f] for f in x if f in ids], np.int32).tobytes() for x in batch.to_pylist()], pa.binary())
 
-    got = held.select("l_key", "positive", F.arrow_udf(numbered, "binary")("features").alias("ids")).orderBy("l_key").collect()
-    w, bias = train([np.frombuffer(bytes(r.ids), np.int32) for r in got], np.array([r.positive for r in got], bool), len(names), prior)
-    return LinearModel({f: float(w[i]) for f, i in names.items()}, float(bias))
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text",
+    most_confirmed: int = CONFIRMED, most_features: int = FEATURES, least_apart: float = LEAST_APART, portion: int = PORTION,
+) -> LinearModel:
+    """A model from confirmed texts and the unlabelled corpus, nothing of it from the held-out fold.
+
+    The prior is the share of confirmed texts among the labelled ones that may be
+    seen. most_confirmed bounds the confirmed texts, the only sample there is;
+    most_features and least_apart say how much of the vocabulary gets a weight:
+    what is left out scores as if the text did not hold it. Rows without key are
+    of the corpus. Without confirmed texts no feature has a weight.
+    """
+    spark = docs.sparkSession
+    bound_arrow_batches(spark)
+    keys, counts = labelled_keys(labels, label, most_confirmed, key)
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    confirmed = stash(texts_of(docs, keys.where("label = 1").select("l_key", F.lit(True).alias("positive")), key, text_col), "toxicity-confirmed")
+    # The estimator takes unlabelled texts as drawn from the whole corpus, toxic ones with their full share: so confirmed ones are among them.
+    others = docs.where(F.col(key).isNull() | (fold(key) != 0)).select(F.col(text_col).cast("binary").alias("text"))
+    both = confirmed.select("text", "positive").unionByName(others.withColumn("positive", F.lit(False)))
+    n_pos, n_others = confirmed.count(), others.count()
+    none = LinearModel({}, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
+    if not n_pos or not n_others:
+        return none
+    counted = both.mapInArrow(_frequencies, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    names = dictionary(counted, n_pos, n_others, most_features, least_apart)
+    if not names:
+        return none
+    numbered = _numbered(spark.sparkContext.broadcast(names))
+    positive = [bytes(r.ids) for r in confirmed.select("l_key", numbered("text").alias("ids")).orderBy("l_key").collect()]
+    ids = stash(others.select(numbered("text").alias("ids")), "toxicity-ids")
+    tasks = min(MAX_TASKS, max(1, round(n_others / portion)))
+    dealt = ids.repartition(tasks, F.xxhash64(F.lit(1), F.monotonically_increasing_id())).sortWithinPartitions(F.xxhash64("ids"), "ids")
+    kind = "chunk int, body binary"
+    parts = dealt.mapInArrow(_portions(spark.sparkContext.broadcast(positive), len(names), prior, portion), kind)
+    sums = parts.repartition("chunk").sortWithinPartitions("chunk", "body").mapInArrow(_summed, kind).collect()  # the size of one model
+    total = np.concatenate([np.frombuffer(bytes(r.body), np.float64) for r in sorted(sums, key=lambda r: r.chunk)])
+    mean = total[:-1] / total[-1]
+    return LinearModel({f: float(mean[i]) for f, i in names.items()}, float(mean[-1]))
 
 
 def score_texts(docs: DataFrame, model: LinearModel, text_col: str = "text", into: str = "toxicity") -> DataFrame:
     """docs with a score from 0 to 1, higher for texts that are likelier toxic; one pass, no shuffle.
 
     Null and empty texts have no features and get the score of the bias. Repeated
-    rows get equal scores. A name clash gives the new column a leading underscore.
+    rows get equal scores, and very long texts are read whole. A name clash gives the new column a leading underscore.
     """
     bound_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -5,8 +5,10 @@ virtual nodes. A key hashes to a cell and walks clockwise to the first virtual
 node whose shard still has room; a full shard lets it walk on. Cells are served
 in ring order and keys within a cell by hash, so the result is that of
 inserting the keys one by one, but only the counts of cells are needed to know
-where each stretch of a cell's keys goes: the plan has as many rows as the ring
-has cells, whatever the size of the table.
+where each stretch of a cell's keys goes. A cell that holds more than its share,
+as that of a key with very many rows, is cut into parts by text, as many as its
+share of all rows asks for: so the plan has at most two rows for each of the ring's
+cells and one for each shard, whatever the size of the table.
 
 Room is a number of rows. With slack 0, rooms differ by one at most and add up
 to the number of rows, so every shard ends exactly full: law `rows`.
@@ -21,12 +23,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planweave.llm.common import stash
+from planweave.llm.common import repeated, stash
 
 CELLS = 1 << 14
 VIRTUAL_NODES = 100
-#: Parts of a cell, so that one key with very many different rows is dealt to several tasks.
-PARTS = 8
+#: Different rows of a cell up to which it stays whole in any table.
+LEAST_PART = 1024
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
 
@@ -103,7 +105,7 @@ def serve(counts: Sequence[tuple[int, int, int]], shards: int, room: list[int],
 
 
 def _plan_frame(spark: SparkSession, plan: list[tuple]) -> DataFrame:
-    """The plan as rows; at most CELLS * PARTS + shards of them."""
+    """The plan as rows; at most 2 * CELLS + shards of them."""
     kind = "array<struct<cell:int,part:int,first:bigint,end:bigint,shard:int,slot:bigint>>"
     names = ("cell", "part", "first", "end", "shard", "slot")
     text = json.dumps([dict(zip(names, x, strict=True)) for x in plan])
@@ -116,7 +118,8 @@ def shard_rows(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sha
     size is the text's UTF-8 bytes plus 16 and text_crc32 the unsigned CRC-32 of
     them; a null text counts as no bytes. slot numbers a shard's rows from 0 without gaps.
     A null key is a key of its own. Rows that repeat get slots side by side as
-    far as one shard has room. An empty table gives an empty result. Columns of
+    far as one shard has room. A very long text is a row like any other. An empty
+    table gives an empty result. Columns of
     docs other than key and text are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
@@ -127,14 +130,19 @@ def shard_rows(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sha
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     cell = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(CELLS)).cast("int")
-    part = F.pmod(F.xxhash64("text_crc32", "size"), F.lit(PARTS)).cast("int")
-    counted = stash(
-        rows.groupBy("key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")).withColumn("cell", cell).withColumn("part", part),
-        "ring",
-    )
-    # At most CELLS * PARTS rows, however many documents there are.
-    counts = [tuple(r) for r in counted.groupBy("cell", "part").agg(F.sum("copies")).collect()]
-    plan = serve(counts, shards, rooms(sum(n for _, _, n in counts), shards, slack))
+    counted = stash(rows.groupBy("key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")).withColumn("cell", cell), "ring")
+    held = [tuple(r) for r in counted.groupBy("cell").agg(F.sum("copies"), F.count(F.lit(1))).collect()]  # a row for each cell at most
+    total, kinds = sum(n for _, n, _ in held), sum(k for *_, k in held)
+    # By what a task has to order, the different rows; a cell of up to twice the even share stays whole.
+    wide = {c: k * CELLS // kinds for c, _, k in held if k * CELLS >= 2 * kinds and k > LEAST_PART}
+    parts = F.lit(1)
+    if wide:
+        known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"cell": c, "parts": p} for c, p in wide.items()])), "array<struct<cell:int,parts:int>>")))
+        counted = counted.join(F.broadcast(known), "cell", "left")
+        parts = F.coalesce("parts", F.lit(1))
+    counted = counted.withColumn("part", F.pmod(F.xxhash64("text_crc32", "size"), parts).cast("int")).drop("parts")
+    counts = [tuple(r) for r in counted.groupBy("cell", "part").agg(F.sum("copies")).collect()] if wide else [(c, 0, n) for c, n, _ in held]
+    plan = serve(counts, shards, rooms(total, shards, slack))
     order = Window.partitionBy("cell", "part").orderBy(F.xxhash64("key", "text_crc32"), "key", "size", "text_crc32")
     ranked = counted.withColumn("to_rank", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ranked = ranked.withColumn("from_rank", F.col("to_rank") - F.col("copies"))
@@ -145,6 +153,5 @@ def _placed(ranked: DataFrame, plan: DataFrame) -> DataFrame:
     """Ranks to shards: a stretch of copies may meet several rows of the plan."""
     met = ranked.join(F.broadcast(plan), ["cell", "part"]).where("from_rank < end and to_rank > first")
     low, high = F.greatest("from_rank", "first"), F.least("to_rank", "end")
-    return met.withColumn("rank", F.explode(F.sequence(low, high - 1))).select(
-        "key", "size", "text_crc32", "shard", (F.col("slot") + F.col("rank") - F.col("first")).alias("slot")
-    )
+    met = met.select("key", "size", "text_crc32", "shard", (F.col("slot") + low - F.col("first")).alias("from_slot"), (high - low).alias("copies"))
+    return repeated(met, "copies", "copy").select("key", "size", "text_crc32", "shard", (F.col("from_slot") + F.col("copy")).alias("slot"))

@@ -6,19 +6,18 @@ fingerprints. Two fingerprints that differ in d bits differ by d at most in
 every coordinate, so a pair is discarded by its largest coordinate difference
 and only survivors are compared bit by bit.
 
-Two kinds of references serve two ends. Zero and the 32 references that set two
-neighbouring bits give, by subtraction, how many bits a fingerprint sets in each of 32 fields. If
-two fingerprints differ in 2 bits at most, 2 fields at most differ in that
-number, hence of 5 groups of fields at least 3 agree in full: pairs that share
-the coordinates of 3 groups are all the candidates there can be. The other
-references are scattered over the space and discard most of the candidates.
-
-A group of candidates that is larger than a few is not paired. Its members
-write down all fingerprints at distance 0 and 1 from themselves; two
-fingerprints differ in 2 bits at most exactly if these lists meet. That way
-costs 65 rows a fingerprint, whatever the size of the group, and finds every
-link that the pairs would have given (each two in such a group are among those
-who write).
+Two kinds of references serve two ends. Zero and the 64 references of a single
+bit tell by the difference of two distances whether a fingerprint sets that bit.
+If two fingerprints differ in 2 bits at most, then of 5 groups of these
+coordinates at least 3 agree in full: pairs that share the coordinates of 3
+groups are all the candidates there can be. The other references are scattered
+over the space and discard most of the candidates.
+
+A group of candidates that is too large to be paired is split by further
+coordinates: those that its members need not share yet are cut into 5 groups
+again, 3 of which must agree. After the third time 5 coordinates at most are left, so
+no more than 32 fingerprints are together. Every link is found at the level
+where its group is small enough, and nothing is cut off.
 """
 
 from __future__ import annotations
@@ -38,14 +37,17 @@ SHINGLE = 3
 SEED = 42
 BITS = 64
 MAX_BITS = 2
-FIELDS = 32
 GROUPS = 5
-AGREE = 3
+AGREE = GROUPS - MAX_BITS
+#: How often the coordinates that are left are cut into groups: of 64 bits, 26, 11 and 5 at most are left.
+LEVELS = 3
 #: References scattered over the space, from a rule.
 SCATTERED = 24
-#: Candidates that share a key and are still paired; larger groups go the other way.
-PAIRED = 12
+#: Candidates that share a key and are paired; larger groups are split further.
+PAIRED = 128
 BLOCK = 1 << 15
+#: Bits, in words of 64, of the table that tells rows without any copy apart from the rest.
+TABLE_WORDS = 1 << 18
 
 
 # ---- fingerprints ------------------------------------------------------
@@ -84,9 +86,8 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", into: str = "finge
 # ---- pivot tables ------------------------------------------------------
 
 
-def _field_references() -> np.ndarray:
-    width = BITS // FIELDS
-    return np.array([0] + [((1 << width) - 1) << (width * k) for k in range(FIELDS)], np.uint64)
+def _bit_references() -> np.ndarray:
+    return np.array([0] + [1 << k for k in range(BITS)], np.uint64)
 
 
 def _scattered_references() -> np.ndarray:
@@ -98,32 +99,47 @@ def distances(prints: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ references[None, :]).astype(np.int16)
 
 
-def candidate_keys(prints: np.ndarray) -> np.ndarray:
-    """For each fingerprint and each choice of 3 groups of fields: a key of their coordinates."""
-    table = distances(prints, _field_references())
-    width = BITS // FIELDS
-    held = (table[:, :1] - table[:, 1:] + width) // 2  # bits set in each field, 0 to 2
-    codes = []
-    for g in range(GROUPS):
-        code = np.zeros(len(prints), np.int64)
-        for k in range(g * FIELDS // GROUPS, (g + 1) * FIELDS // GROUPS):
-            code = code * (width + 1) + held[:, k]
-        codes.append(code)
-    most = (width + 1) ** (FIELDS // GROUPS + 1)
+CHOICES = list(combinations(range(GROUPS), AGREE))
+
+
+def free_bits(path: int) -> list[int]:
+    """The coordinates that members of a group need not share. path: the choices made so far, digits base 11 of one more than each."""
+    digits = []
+    while path:
+        digits.append(path % 11 - 1)
+        path //= 11
+    free = list(range(BITS))
+    for choice in reversed(digits):
+        parts = [x.tolist() for x in np.array_split(np.array(free), GROUPS)]
+        free = [b for g in range(GROUPS) if g not in CHOICES[choice] for b in parts[g]]
+    return free
+
+
+def candidate_keys(prints: np.ndarray, path: int = 0) -> np.ndarray:
+    """For each fingerprint and each choice of 3 groups of the coordinates that are free: those coordinates, as a number."""
+    table = distances(prints, _bit_references())
+    bits = ((table[:, :1] - table[:, 1:] + 1) // 2).astype(np.int64)
+    parts = np.array_split(np.array(free_bits(path)), GROUPS)
     keys = []
-    for which, chosen in enumerate(combinations(range(GROUPS), AGREE)):
-        key = np.full(len(prints), which, np.int64)
+    for chosen in CHOICES:
+        key = np.zeros(len(prints), np.int64)
         for g in chosen:
-            key = key * most + codes[g]
+            for b in parts[g].tolist():
+                key = key * 2 + bits[:, b]
         keys.append(key)
     return np.stack(keys, axis=1)
 
 
-def _keyed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        keys = candidate_keys(batch.to_numpy(zero_copy_only=False).view(np.uint64))
-        offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
-        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
+def _keyed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for prints, paths in batches:
+        own, way = prints.to_numpy(zero_copy_only=False).view(np.uint64), paths.to_numpy(zero_copy_only=False)
+        codes, choices = np.zeros((len(own), len(CHOICES)), np.int64), np.zeros((len(own), len(CHOICES)), np.int64)
+        for path in np.unique(way).tolist():  # a hundred at most
+            of = way == path
+            codes[of] = candidate_keys(own[of], path)
+            choices[of] = path * 11 + 1 + np.arange(len(CHOICES))
+        both = pa.StructArray.from_arrays([pa.array(codes.ravel()), pa.array(choices.ravel())], ["code", "path"])
+        yield pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)), both)
 
 
 def linked_pairs(members: list[int]) -> list[tuple[int, int]]:
@@ -131,10 +147,11 @@ def linked_pairs(members: list[int]) -> list[tuple[int, int]]:
     prints = np.array(members, np.int64).view(np.uint64)
     table = distances(prints, _scattered_references())
     a, b = np.triu_indices(len(prints), 1)
-    near = np.abs(table[a] - table[b]).max(axis=1) <= MAX_BITS
-    a, b = a[near], b[near]
+    for c in range(SCATTERED):  # one coordinate after the other, on the pairs that are left
+        near = np.abs(table[a, c] - table[b, c]) <= MAX_BITS
+        a, b = a[near], b[near]
     sure = np.bitwise_count(prints[a] ^ prints[b]) <= MAX_BITS
-    return [(members[i], members[j]) for i, j in zip(a[sure], b[sure], strict=True)]
+    return [(members[i], members[j]) for i, j in zip(a[sure].tolist(), b[sure].tolist(), strict=True)]
 
 
 def _linked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -143,31 +160,35 @@ def _linked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([[{"a": a, "b": b} for a, b in linked_pairs(x)] for x in batch.to_pylist()], kind)
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that join all that differ in 2 bits at most.
-
-    Pairs of small candidate groups are given each; for large groups a star gives the same components.
-    """
-    keyed = prints.select("fp", F.explode(F.arrow_udf(_keyed, "array<long>")("fp")).alias("key"))
-    counted = stash(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
-    small = counted.where(F.col("n") <= PAIRED).select("key")
-    # Members of small groups: PAIRED rows a key at most.
-    groups = keyed.join(small, "key").groupBy("key").agg(F.collect_list("fp").alias("members"))
-    pairs = groups.select(F.explode(F.arrow_udf(_linked, "array<struct<a:long,b:long>>")("members")).alias("x")).select("x.a", "x.b")
-    large = counted.where(F.col("n") > PAIRED).select("key")
-    writers = keyed.join(large, "key").select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), k) for k in range(BITS)])
-    balls = writers.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
-    # Fingerprints around one lie within 1 bit of it: 65 at most, and all within 2 bits of each other.
-    met = balls.groupBy("near").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    stars = met.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a <> b")
-    return pairs.unionByName(stars).distinct()
+def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
+    """Edges (a, b): all pairs of distinct fingerprints (column fp) that differ in 2 bits at most."""
+    keyed = F.arrow_udf(_keyed, "array<struct<code:long,path:int>>").asNondeterministic()
+    pairs = F.arrow_udf(_linked, "array<struct<a:long,b:long>>").asNondeterministic()
+    rows = prints.select("fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"))
+    found = None
+    for level in range(LEVELS):
+        dealt = rows.select("fp", "key", F.explode(keyed("fp", "path")).alias("x"))
+        # The key of a group: that of the group before it, the choice and its coordinates; if two should meet in a number, verification parts them.
+        dealt = stash(dealt.select("fp", "x.path", F.xxhash64("key", "x.path", "x.code").alias("key")), "simhash-keys")
+        counted = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        last = level + 1 == LEVELS
+        groups = dealt.join(counted if last else counted.where(F.col("n") <= paired), "key").groupBy("key").agg(F.collect_list("fp").alias("members"))
+        own = groups.select(F.explode(pairs("members")).alias("x")).select("x.a", "x.b")
+        own = stash(own.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+        found = own if found is None else found.unionByName(own)
+        if last:
+            break
+        rows = stash(dealt.join(counted.where(F.col("n") > paired).select("key"), "key", "left_semi").select("fp", "path", "key"), "simhash-large")
+        discard(dealt)
+        if rows.isEmpty():
+            break
+    return found.distinct()
 
 
 # ---- components --------------------------------------------------------
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b) that isn't the smallest of its component; root is that one.
 
     Large-star and small-star in turn, on edges from a larger node b to a smaller
@@ -175,10 +196,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smaller neighbours of a b and b itself link to the smallest of them. Neither
     adds edges. Minima are taken by partial aggregation, never over the
     neighbours of a node as a list. Each round is written to the shared folder
-    and the one before is deleted.
+    and the one before is deleted. Every round merges each star that is not alone
+    with another one, so rounds end by themselves.
     """
     now = stash(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "components")
-    for _ in range(max_rounds):
+    while True:
         least = now.groupBy("b").agg(F.min("a").alias("m"))
         large = now.join(least.select(F.col("b").alias("a"), "m"), "a", "left").select(F.coalesce("m", "a").alias("a"), "b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
@@ -191,40 +213,66 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         chained = now.select("a").join(now.select(F.col("b").alias("a")), "a", "left_semi")
         if not twice.unionByName(chained.select(F.col("a").alias("b"))).limit(1).count():
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+
+
+def _identity(key: str, text_col: str) -> list:
+    """Two numbers that tell rows apart by key and text; equal rows have equal ones."""
+    body = [F.col(key).isNull(), F.col(key), F.col(text_col).isNull(), F.col(text_col)]
+    return [F.xxhash64(F.lit(k), *body) for k in (1, 2)]
+
+
+def _classified(docs: DataFrame, key: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, id1, id2, fp) of docs, and the root of every fingerprint (fp, first, root)."""
+    id1, id2 = _identity(key, text_col)
+    slim = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"), id1.alias("id1"), id2.alias("id2"))
+    rows = stash(with_fingerprint(slim, into="fp").select("key", "id1", "id2", "fp"), "simhash")
+    classes = stash(rows.groupBy("fp").agg(F.min("key").alias("first")), "simhash-classes")
+    label = components(stash(links(classes.select("fp")), "simhash-links"))
+    known = classes.join(label, classes["fp"] == label["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return rows, known
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: key, fp (signed), root (the component's smallest fingerprint) and component_id, the smallest key that is reachable.
 
     Null texts and those without words have the fingerprint 0, linked like any
-    other. Repeated rows are in one component. Null keys are ignored when the
-    smallest is taken; a component of null keys only has a null id. An empty
-    table gives an empty result. Other columns of docs are not read.
+    other; a very long text is one fingerprint like any other. Repeated rows are in
+    one component. Null keys are ignored when the smallest is taken; a component of
+    null keys only has a null id. An empty table gives an empty result. Other
+    columns of docs are not read, so their names cannot clash.
     """
-    rows = stash(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"))).select("key", F.col("fingerprint").alias("fp")), "simhash")
-    classes = stash(rows.groupBy("fp").agg(F.min("key").alias("first")), "simhash-classes")
-    edges = stash(links(classes.select("fp")), "simhash-links")
-    label = components(edges)
-    known = classes.join(label, classes["fp"] == label["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rows, known = _classified(docs, key, text_col)
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = known.join(least, "root").select("fp", "root", "component_id")
     return rows.join(labels, "fp").select("key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component: of those with its smallest key that with the smallest fingerprint, of repeated rows any one.
+    """One row of docs for each component: of those with its smallest key the one with the smallest fingerprint, of repeated rows any one.
 
-    A key may come with different texts: rows are told apart by key and
-    fingerprint. Of a component without keys, a row with its smallest
-    fingerprint stays.
+    A key may come with different texts: rows are told apart by key and text. Of a
+    component without keys, a row with its smallest fingerprint stays. A row that
+    is alone in its component stays where it is: a table of bits, of fixed size,
+    passes it, and only the rest is shuffled and looked up. An empty table gives
+    an empty result; columns of docs may have any names.
     """
-    found = near_duplicates(docs, key, text_col)
-    mine = free_name(docs, "fingerprint")
-    chosen = found.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("fp").alias(mine))
-    kept = chosen.where("component_id is not null").select(F.col("component_id").alias(key), mine)
-    # The join and the removal of repeated rows need the same partitioning: one shuffle of the texts.
-    rows = with_fingerprint(docs.where(F.col(key).isNotNull()), text_col, mine).join(kept, [key, mine], "left_semi").dropDuplicates([key, mine])
-    alone = chosen.where("component_id is null").select(mine)
-    nulls = with_fingerprint(docs.where(F.col(key).isNull()), text_col, mine).join(alone, mine, "left_semi").dropDuplicates([mine])
-    return rows.select(*docs.columns).unionByName(nulls.select(*docs.columns))
+    rows, known = _classified(docs, key, text_col)
+    rows = stash(rows.join(known.select("fp", "root"), "fp"), "simhash-rows")
+    order = F.struct(F.col("key").isNull().alias("null"), "key", "fp", "id1", "id2")
+    chosen = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best")).where("n > 1").select("root", "best.id1", "best.id2")
+    several = rows.join(chosen.select("root", F.col("id1").alias("c1"), F.col("id2").alias("c2")), "root")
+    several = several.groupBy("id1", "id2").agg(F.max((F.col("id1") == F.col("c1")) & (F.col("id2") == F.col("c2"))).alias("stays"))
+    several = stash(several, "simhash-several")
+    word = lambda c: F.pmod(F.shiftright(c, 6), F.lit(TABLE_WORDS)).cast("int")
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} & 63 AS INT))")
+    table = several.groupBy(word(F.col("id1")).alias("word")).agg(F.bit_or(bit("id1")).alias("bits"))  # TABLE_WORDS rows at most
+    c1, c2, w, bits = (free_name(docs, x) for x in ("row_id1", "row_id2", "row_word", "row_bits"))
+    id1, id2 = _identity(key, text_col)
+    marked = docs.withColumns({c1: id1, c2: id2}).withColumn(w, word(F.col(c1)))
+    marked = marked.join(F.broadcast(table.select(F.col("word").alias(w), F.col("bits").alias(bits))), w, "left")
+    seen = F.coalesce(F.col(bits).bitwiseAND(bit(f"`{c1}`")) != 0, F.lit(False))
+    alone = marked.where(~seen).select(*docs.columns)
+    # Repeated rows are taken together before they are shuffled; what the table marks for nothing is not found among several, and stays.
+    rest = marked.where(seen).drop(w, bits).dropDuplicates([c1, c2])
+    rest = rest.join(several.select(F.col("id1").alias(c1), F.col("id2").alias(c2), F.col("stays").alias(bits)), [c1, c2], "left")
+    return alone.unionByName(rest.where(F.coalesce(F.col(bits), F.lit(True))).select(*docs.columns))

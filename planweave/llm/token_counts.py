@@ -1,16 +1,20 @@
 """Token counts by a public tokenizer, as lengths only.
 
-An Arrow function receives texts, cuts long ones at white space, and encodes
-the pieces in batches of about equal bytes. White space is the boundary that is
-safe here: the tokenizer drops it before its merges, none of its special
-strings holds any, and normal form C composes nothing with it. So counts add up
-over words, and each worker encodes a word once while it stays in a bounded
-store.
+An Arrow function receives texts, cuts long ones at safe boundaries, and encodes
+the pieces in batches of about equal bytes. A boundary is safe where the tokenizer
+itself cuts and nothing before it looks across: at white space, if the tokenizer
+drops it before its merges, none of its special strings holds any and its
+normal form composes nothing with it; and after an ASCII digit, if every digit is
+a piece of its own. Whether that is so is read from the tokenizer's file. Then
+counts add up over words, and each worker encodes a word once while it stays in a
+bounded store. With any other tokenizer whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import bound_arrow_batches, byte_groups
+from planweave.llm.common import bound_arrow_batches, byte_groups, free_name
 
 #: Words whose counts a worker keeps; beyond it the store starts anew.
 KEPT_WORDS = 300_000
@@ -29,21 +33,49 @@ PIECE_BYTES = 1 << 22
 SPACES = b" \t\n\v\f\r"
 
 
+DIGITS = b"0123456789"
+
+
 def pieces(text: bytes, limit: int = PIECE_BYTES) -> Iterator[bytes]:
-    """The text, cut at white space into parts of at most limit bytes, or more where a word is longer."""
+    """The text, cut before white space or after a digit into parts of at most limit bytes, or more where neither comes for longer."""
     start = 0
     while len(text) - start > limit:
         cut = max(text.rfind(bytes([c]), start, start + limit) for c in SPACES)
         if cut <= start:
-            later = [p for p in (text.find(bytes([c]), start + limit) for c in SPACES) if p >= 0]
+            cut = max(text.rfind(bytes([c]), start, start + limit) for c in DIGITS) + 1
+        if cut <= start:
+            later = re.compile(rb"[\x09-\x0d ]|[0-9]").search(text, start + limit)
             if not later:
                 break
-            cut = min(later)
+            cut = later.end() if later.group().isdigit() else later.start()
         yield text[start:cut]
         start = cut
     yield text[start:]
 
 
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer's file says that it drops white space and takes every digit by itself, so that counts of words add up.
+
+    It must cut by a pattern first, keep nothing but what the pattern matches, and
+    the pattern must match neither white space nor a digit together with others.
+    """
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    cut = own.get("pre_tokenizer") or {}
+    cut = cut["pretokenizers"][0] if cut.get("type") == "Sequence" else cut
+    if cut.get("type") != "Split" or cut.get("behavior") != "Removed" or not cut.get("invert"):
+        return False
+    pattern = cut.get("pattern", {}).get("Regex", "")
+    alone = {"[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+"}
+    if not all(x in alone or re.fullmatch("'[a-z]+", x) for x in pattern.split("|")) or not alone <= set(pattern.split("|")):
+        return False
+    normal = own.get("normalizer") or {}
+    steps = normal.get("normalizers", [normal] if normal else [])
+    known = all(x.get("type") in ("NFC", "Lowercase") or (x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " ") for x in steps)
+    special = [x["content"] for x in own.get("added_tokens", [])]
+    return known and not any(re.search(r"\s|[0-9]", x) for x in special) and not any(x.get("lstrip") or x.get("rstrip") for x in own.get("added_tokens", []))
+
+
 class WordCounter:
     """Counts the tokens of texts with one tokenizer."""
 
@@ -54,6 +86,15 @@ class WordCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, int] = {}
+        self.by_word = cuts_at_spaces(path)
+
+    def whole(self, texts: list[bytes]) -> np.ndarray:
+        """Counts of texts that are encoded as they are."""
+        out = np.zeros(len(texts), np.int64)
+        for group in byte_groups(texts, CALL_BYTES):
+            found = self.tokenizer.encode_batch_fast([texts[i].decode("utf-8", "replace") for i in group], add_special_tokens=False)
+            out[group] = [len(x) for x in found]
+        return out
 
     def learn(self, words: set[bytes]) -> None:
         new = sorted(words.difference(self.known), key=len)
@@ -63,6 +104,8 @@ class WordCounter:
             self.known.update(zip((new[i] for i in group), map(len, found), strict=True))
 
     def count(self, texts: list[bytes]) -> np.ndarray:
+        if not self.by_word:
+            return self.whole(texts)
         out = np.zeros(len(texts), np.int64)
         for group in byte_groups(texts, PIECE_BYTES):
             for i, words in [(i, part.split()) for i in group for part in pieces(texts[i])]:
@@ -91,9 +134,11 @@ def _counter(path: str, limit: int):
 def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", limit: int = 2048) -> DataFrame:
     """docs with a struct column `tokens` of n_bytes, n_tokens and over_limit; one pass, no shuffle.
 
-    tokenizer: path of a word-level BPE file on every executor. A null text counts
-    as empty (0 bytes, 0 tokens). Repeated rows count each for itself. A column of
-    docs that is named `tokens` is replaced.
+    tokenizer: path of a tokenizer's JSON file on every executor; counts are those of its library for the whole
+    text, whether it is cut into words or not. A null text counts
+    as empty (0 bytes, 0 tokens). Repeated rows count each for itself. A very long
+    text is encoded in pieces if the tokenizer has safe boundaries. A name
+    clash gives the new column a leading underscore.
     """
     bound_arrow_batches(docs.sparkSession)
-    return docs.withColumn("tokens", _counter(tokenizer, limit)(F.col(text_col).cast("binary")))
+    return docs.withColumn(free_name(docs, "tokens"), _counter(tokenizer, limit)(F.col(text_col).cast("binary")))

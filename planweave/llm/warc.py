@@ -2,10 +2,14 @@
 
 Every record is a gzip member of its own. The reader cuts files into byte
 ranges. A task looks for the gzip magic in its range, accepts a candidate only
-if what it decodes begins with a WARC version line and complete headers and if
-its end is the file's end or another gzip magic, and owns the records that
-start inside its range, reading past the range's end to finish the last one.
-So each record is read exactly once, however the files are cut.
+if what it decodes begins with a WARC version line and complete headers, and
+owns the records that start inside its range, reading past the range's end to
+finish the last one. So each record is read exactly once, however the files are
+cut. From its first record on, a task goes from one to the next without a gap, and
+looks whether a record follows its last one: bytes between records, damaged
+records and cut off ones are errors, whichever range they lie in. (Payloads that
+hold whole compressed records as they are would be taken for records; text in
+UTF-8 cannot hold the magic.)
 
 Files lie in a folder that driver and executors share; they are opened with
 Arrow's file systems, by URI.
@@ -138,7 +142,8 @@ def member(source: ByteRange, start: int) -> tuple[bytes, int] | None:
     """The decoded gzip member at start, and where it ends; None if it is no WARC record.
 
     What begins with a WARC version line is a record, however long its headers
-    are: if it is cut off, damaged or has no complete headers, that is an error.
+    are: if it is cut off, damaged, has no complete headers or no record behind
+    it, that is an error.
     """
     inflate, out, at = zlib.decompressobj(31), bytearray(), start
     while not inflate.eof:
@@ -155,24 +160,42 @@ def member(source: ByteRange, start: int) -> tuple[bytes, int] | None:
         if not part and not inflate.eof:
             raise ValueError(f"cut off record at byte {start}")
     end = at - len(inflate.unused_data)
-    if end < source.size and source.get(end, end + len(MAGIC)) != MAGIC:
-        return None
     data = bytes(out)
     if headers(data) is None:
         raise ValueError(f"record without complete headers at byte {start}")
+    if end < source.size and source.get(end, end + len(MAGIC)) != MAGIC:
+        raise ValueError(f"no record at byte {end}")
     return data, end
 
 
+def begins(source: ByteRange, start: int) -> bool:
+    """Whether a WARC record begins at start."""
+    inflate, out, at = zlib.decompressobj(31), b"", start
+    try:
+        while len(out) < len(VERSION) and at < source.size:
+            out += inflate.decompress(source.get(at, at + 256), len(VERSION))
+            at += 256
+    except zlib.error:
+        return False
+    return out.startswith(VERSION)
+
+
 def records_in(file, size: int, start: int, end: int) -> Iterator[dict]:
     """The records that start in [start, end) of a file."""
-    source, at = ByteRange(file, start, size), start
-    while at < end and (at := source.find(at, end)) >= 0:
+    source, at, chained = ByteRange(file, start, size), start, start == 0
+    while at < min(end, size):
+        if not chained and (at := source.find(at, end)) < 0:
+            return  # the range lies within a record that began before it
         found = member(source, at)
-        if found is None:
-            at += 1
-        else:
+        if found is not None:
             yield parse(found[0])
-            at = found[1]
+            at, chained = found[1], True
+        elif chained:
+            raise ValueError(f"no record at byte {at}")
+        else:
+            at += 1
+    if chained and at < size and not begins(source, at):
+        raise ValueError(f"no record at byte {at}")
 
 
 FIELDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"

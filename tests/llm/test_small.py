@@ -15,7 +15,7 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from planweave.llm import apportion_mixing, compression_rules, neural_lm, ring_sharding, simhash, suffix_decontam, token_counts, warc
+from planweave.llm import apportion_mixing, compression_rules, fm_quality, neural_lm, pu_toxicity, ring_sharding, simhash, suffix_decontam, token_counts, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 texts = st.text(alphabet=st.sampled_from(list("aAbB \n\t#|é 　\x1c1.")), max_size=80)
@@ -107,9 +107,16 @@ def test_pivot_candidates_lose_no_link():
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(300)]
     near = [x ^ (1 << a) ^ (1 << b) for x in base for a, b in [(r.randrange(64), r.randrange(64))]]
-    keys = simhash.candidate_keys(np.array(base + near, np.uint64))
-    for i in range(len(base)):
-        assert (keys[i] == keys[len(base) + i]).any()
+    first = 1 + 3  # a group of the fourth choice
+    for path in (0, first):
+        # Coordinates that the group shares already are the same for all of it.
+        free = simhash.free_bits(path)
+        close = [x ^ (1 << a) ^ (1 << b) for x in base for a, b in [r.choices(free, k=2)]]
+        keys = simhash.candidate_keys(np.array(base + close, np.uint64), path)
+        for i in range(len(base)):
+            assert (keys[i] == keys[len(base) + i]).any()
+    deepest = [simhash.free_bits((a * 11 + b) * 11 + c) for a in range(1, 11) for b in range(1, 11) for c in range(1, 11)]
+    assert max(map(len, deepest)) == 5
     group = [x - (1 << 64) if x >> 63 else x for x in base[:30] + near[:30]]
     want = {(a, b) for i, a in enumerate(group) for b in group[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
     assert set(simhash.linked_pairs(group)) == want
@@ -147,7 +154,12 @@ def test_suffix_search(docs, items):
                         owners.add(i)
         assert n == len(words)
         assert {k for a, b in spans for k in range(a, b)} == hit
-        assert {index.items[i] for i in found} == owners
+        assert {index.items[i] for i, _ in found} == owners
+        for i, (at, of, size) in found:
+            x = items[index.items[i]]
+            assert words[at : at + size] == x[of : of + size]
+            longest = max(next(k for k in range(99) if b + k >= len(words) or a + k >= len(x) or words[b + k] != x[a + k]) for b in range(len(words)) for a in range(len(x)))
+            assert size == longest >= min(4, len(x))
 
 
 def test_warc_records_are_read_once_however_cut(tmp_path):
@@ -206,16 +218,164 @@ def test_token_counts_are_the_librarys():
     assert b"".join(cut) == cases[-1].encode() and len(cut) > 5
 
 
-def test_language_model_is_normalised():
+def _model(words=40):
     r = np.random.default_rng(0)
-    base = neural_lm.SYMBOLS + 1
-    codes = r.integers(0, base * base * neural_lm.SYMBOLS, 2000)
-    model = neural_lm.LogBilinear().train(np.unique(codes), np.ones(len(np.unique(codes)), np.int64), steps=20)
-    near, far, norm = model.tables()
-    for u, v in ((0, 0), (5, 9), (neural_lm.START, neural_lm.START)):
-        assert np.exp(near[u] + far[v] - norm[v, u]).sum() == pytest.approx(1)
+    return neural_lm.LogBilinear(np.concatenate([np.sort(r.integers(1, 500, words))[::-1], r.integers(0, 9, neural_lm.SHAPES)]))
+
+
+def test_language_model_is_normalised():
+    model = _model()
+    n, start = model.symbols, model.symbols
+    r = np.random.default_rng(1)
+    two, one, word = (r.integers(0, n, 5000) for _ in range(3))
+    model.table, _ = model.train(two, one, word, r)
+    rt, q, p, a, b = (x.astype(np.float64) for x in model.views(model.table))
+    w = neural_lm.WIDTH
+    for v, u in ((0, 0), (5, 9), (start, start), (start, 3)):
+        logs = model.score(np.full(n, v), np.full(n, u), np.arange(n))
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
+        h = a[:, :w] @ rt[u, :w] + b[:, :w] @ rt[v, :w]
+        classes = p[:, :w] @ h + p[:, w]
+        for x in range(0, n, 7):  # one word after the other
+            own = [y for y in range(n) if model.of[y] == model.of[x]]
+            s = {y: q[y, :w] @ h + q[y, w] for y in own}
+            want = classes[model.of[x]] - math.log(np.exp(classes).sum()) + s[x] - math.log(sum(map(math.exp, s.values())))
+            assert logs[x] == pytest.approx(want, abs=1e-4)
     assert all(0 <= neural_lm.shape(t) < neural_lm.SHAPES for t in (b"", b"a", "é.".encode(), b"x" * 50, b"1,"))
 
 
+def test_language_model_learns_what_follows():
+    """Words that always follow each other become far likelier than their share."""
+    model = _model()
+    before = model.score(np.array([3]), np.array([4]), np.array([5]))[0]
+    r = np.random.default_rng(2)
+    text = np.tile(np.arange(12), 3000)
+    two, one = neural_lm.contexts(text, model.symbols)
+    for _ in range(2):
+        model.table, used = model.train(two, one, text, r)
+    after = model.score(np.array([3]), np.array([4]), np.array([5]))[0]
+    assert after > before + 1 and used[: model.symbols + 1].sum() == 2 * len(text)
+    two, one = neural_lm.contexts(np.array([7, 8, 9]), 99)
+    assert two.tolist() == [99, 99, 7] and one.tolist() == [99, 7, 8]
+
+
+def test_quality_gradient_is_that_of_the_loss():
+    r = np.random.default_rng(3)
+    m = fm_quality.FactorisationMachine(np.zeros((1, fm_quality.BINS - 1)))
+    m.w[:] = r.normal(0, 0.3, len(m.w))
+    place, value = r.integers(0, 12, 30), r.random(30)
+    starts, row = np.array([0, 8, 19]), np.repeat([0, 1, 2], [8, 11, 11])
+    label, weight = np.array([1.0, 0.0, 1.0]), np.array([0.2, 0.5, 0.3])
+
+    def loss():
+        z = m.margins(place, value, starts)
+        return float((weight * (np.logaddexp(0, z) - label * z)).sum())
+
+    used, dw, dv, db = m.gradients(place, value, starts, row, label, weight)
+    assert used.tolist() == sorted(set(place.tolist()))
+
+    def slope(table, at):
+        held, step = table[at], 1e-5
+        table[at] = held + step
+        high = loss()
+        table[at] = held - step
+        low = loss()
+        table[at] = held
+        return (high - low) / (2 * step)
+
+    # An input that comes twice in a text has the product of its two places with itself, as any two inputs have.
+    for i, x in enumerate(used.tolist()):
+        assert dw[i] == pytest.approx(slope(m.w, x), abs=1e-7)
+        assert dv[i, 2] == pytest.approx(slope(m.v, (x, 2)), abs=1e-6)
+    base = loss()
+    m.bias += 1e-6
+    assert db == pytest.approx((loss() - base) / 1e-6, abs=1e-5)
+
+
+def test_non_negative_risk_and_its_slope():
+    r = np.random.default_rng(4)
+    positive = np.arange(12) < 5
+    seen = set()
+    for scale, shift in ((1, 0), (0.2, -1), (3, 2), (2, -4)):
+        z = r.normal(0, scale, 12) + np.where(positive, 3 - shift, shift)
+        clean = lambda x: np.log1p(np.exp(x))
+        part = lambda x: clean(x[~positive]).mean() - 0.4 * clean(x[positive]).mean()
+        whole = lambda x: 0.4 * np.log1p(np.exp(-x[positive])).mean() + part(x)
+        risk, slope = pu_toxicity.clean_and_slope(z, positive, 0.4)
+        assert risk == pytest.approx(part(z))
+        made_small = whole if risk >= 0 else lambda x: -part(x)
+        seen.add(risk >= 0)
+        for i in range(12):
+            step = np.zeros(12)
+            step[i] = 1e-6
+            assert slope[i] == pytest.approx((made_small(z + step) - made_small(z - step)) / 2e-6, abs=1e-6)
+    assert seen == {True, False}
+
+
+def test_toxic_features():
+    sets = pu_toxicity.FeatureSets()
+    text = ("calm " * 150 + "Ätzend! ätzende x").encode()
+    got = sets.of(text)
+    assert {"calm", "calm+", "ätzend", "ätzende", "ätze*", "ätzen*", "x"} <= got and "x+" not in got and "ätze*+" in got
+    assert pu_toxicity.FeatureSets({"ätze*+", "calm"}).of(text) == {"ätze*+", "calm"}
+    assert sets.of(None) == sets.of(b"12 %") == set()
+
+
+def test_tokenizers_that_keep_spaces_encode_whole_texts(tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    assert token_counts.cuts_at_spaces(public_tokenizers.path("word_bpe_49k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_counts.cuts_at_spaces(path)
+    cases = ["", "two  words", " leading", "a\n\n b", "é " * 50]
+    plain = Tokenizer.from_file(path)
+    assert token_counts.WordCounter(path).count([c.encode() for c in cases]).tolist() == [len(plain.encode(c, add_special_tokens=False)) for c in cases]
+
+
+def test_long_texts_without_spaces_are_cut_after_digits():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "".join(random.Random(6).choices("abcé1234!中", k=4000))
+    parts = list(token_counts.pieces(text.encode(), 300))
+    assert b"".join(parts) == text.encode() and max(map(len, parts)) < 400
+    plain = Tokenizer.from_file(path)
+    count = lambda x: len(plain.encode(x, add_special_tokens=False))
+    assert sum(count(p.decode()) for p in parts) == count(text)
+
+
+def test_ring_moves_few_keys():
+    """One more shard: what moves is at most twice what the new shard takes, though every shard is full."""
+    r = random.Random(7)
+    n = 100_000
+    counts = [(c, 0, k) for c, k in Counter(r.randrange(ring_sharding.CELLS) for _ in range(n)).items()]
+    place = lambda shards: {(c, k): s for c, _, a, b, s, _ in ring_sharding.serve(counts, shards, ring_sharding.rooms(n, shards)) for k in range(a, b)}
+    old, new = place(40), place(41)
+    assert sum(s == 40 for s in new.values()) == n // 41 + (n % 41 > 40)
+    assert sum(old[k] != new[k] for k in old) < 2.2 * n / 41
+
+
+def test_gaps_between_records_are_errors(tmp_path):
+    r = random.Random(8)
+    parts = [warc.record(i, f"http://a/{i}", bytes(r.randbytes(500)), "A" * 32, 1, True) for i in range(12)]
+    path = tmp_path / "gap.warc.gz"
+
+    def read(data, step):
+        path.write_bytes(data)
+        with path.open("rb") as f:
+            return [x["page_id"] for a in range(0, len(data), step) for x in warc.records_in(f, len(data), a, min(a + step, len(data)))]
+
+    at = len(b"".join(parts[:5]))
+    whole = b"".join(parts)
+    for step in (100, 333, 1 << 20):
+        assert read(whole, step) == list(range(12))
+        # Bytes between records; the first bytes of a record damaged; those of the file; bytes at the end.
+        for bad in (whole[:at] + b"junk" + whole[at:], whole[:at] + b"\0\0\0" + whole[at + 3 :], b"\0" + whole[1:], whole + b"more", whole[:at] + whole[at + 10 :]):
+            with pytest.raises(ValueError):
+                read(bad, step)
+
+
 def test_crc_folds():
     assert zlib.crc32(b"7") % 7 in range(7) and math.isfinite(1.0)
