@@ -260,7 +260,7 @@ def mixed_rows(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sou
     plain = rows.where(~at_end).withColumn(names["copies"], at("rounds") + (between("a") | between("b")).cast("long"))
     # The runs at the ends, and what shares their marks.
     marks = runs.where(cut).select("sid", "shard", "mark").distinct()
-    few_runs = runs.join(marks, ["sid", "shard", "mark"], "left_semi").withColumn("more", F.round(F.col("part") / F.col("size")).cast("long"))
+    few_runs = runs.join(marks, ["sid", "shard", "mark"], "left_semi").withColumn("more", F.round(F.col("part") / F.greatest("size", F.lit(1))).cast("long"))
     few_runs = few_runs.select(F.col("sid").alias(names["sid"]), "key", F.col("size").alias(names["size"]), F.col("n").alias(names["n"]), F.col("more").alias(names["more"]))
     own = free_name(docs, "mix_key")
     few_runs = few_runs.withColumnRenamed("key", own)
