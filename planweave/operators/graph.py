@@ -26,7 +26,7 @@ MAX_TRAVERSALS = 100_000
 #: Sources that one task walks from in one project's graph.
 SOURCES_PER_TASK = 1000
 #: Edges of a project up to which one task looks for cycles.
-EDGES_PER_TASK = 200_000
+EDGES_PER_TASK = 1_000_000
 
 
 def by_key(df: DataFrame, keys: list[str], order: list[str | Column], walk: Callable[[tuple, list[dict]], Iterator[dict]], schema: str) -> DataFrame:
