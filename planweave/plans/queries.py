@@ -137,22 +137,36 @@ def fuzzy_candidates(spark, d):
     return pairs.select(F.col("pk").alias("project_id"), "b_seq", "a_seq", F.round(F.col("context") * 100).cast("long").alias("context_hundredths"))
 
 
-@_query(f"""{FUZZY.strip()} SELECT project_id, b_seq, a_seq, CAST(round(least(1.0, 0.7 * (2.0 * length(bn) / (length(bn) + length(an))) + ctx / 100.0) * 1000000) AS BIGINT) AS score_millionths
-  FROM cand WHERE ctx > 0 AND starts_with(an, bn) AND 0.7 * (2.0 * length(bn) / (length(bn) + length(an))) + ctx / 100.0 >= 0.7 - 1e-9""")
-def fuzzy_scores_suffix(spark, d):
-    """Scores of pairs whose after name continues the before name: there the ratio follows from the lengths."""
-    b, a = _rest(spark, d)
-    s = reconcile.fuzzy_scores(b, a, reconcile.MatchConfig())
-    s = s.join(b.select("pk", F.col("act_seq").alias("b_seq"), normal_name(F.col("name")).alias("bn")), ["pk", "b_seq"])
-    s = s.join(a.select("pk", F.col("act_seq").alias("a_seq"), normal_name(F.col("name")).alias("an")), ["pk", "a_seq"])
-    return s.where(F.col("an").startswith(F.col("bn"))).select(F.col("pk").alias("project_id"), "b_seq", "a_seq", F.round(F.col("score") * 1_000_000).cast("long").alias("score_millionths"))
+#: The name ratio in SQL: the longest common stretch, the first of them in either name, then the same on both its sides.
+_LONGEST = """list_sort(flatten(list_transform(range(1, length({a}) + 1), lambda i: list_transform(range(1, length({b}) + 1), lambda j:
+  {{'k': len(list_filter(range(1, least(length({a}) - i, length({b}) - j) + 2), lambda k: substr({a}, i, k) = substr({b}, j, k))), 'i': -i, 'j': -j}}))), 'DESC')[1]"""
+SCORES = f"""{FUZZY.strip()},
+sg AS (SELECT project_id, b_seq, a_seq, bn AS x, an AS y, {_LONGEST.format(a="bn", b="an")} AS m FROM cand WHERE ctx > 0 AND 0.7 * (2.0 * least(length(bn), length(an)) / (length(bn) + length(an))) + ctx / 100.0 >= 0.7 - 1e-9
+  UNION ALL SELECT project_id, b_seq, a_seq, p.x, p.y, {_LONGEST.format(a="p.x", b="p.y")} FROM (SELECT project_id, b_seq, a_seq, unnest([{{'x': substr(x, 1, -m.i - 1), 'y': substr(y, 1, -m.j - 1)}}, {{'x': substr(x, -m.i + m.k), 'y': substr(y, -m.j + m.k)}}]) AS p
+    FROM sg WHERE m.k > 0) WHERE p.x <> '' AND p.y <> ''),
+sc AS MATERIALIZED (SELECT c.project_id, c.b_seq, c.a_seq, least(1.0, 0.7::DOUBLE * (2.0::DOUBLE * t.m / (length(bn) + length(an))) + ctx / 100.0::DOUBLE) AS score FROM cand c
+  JOIN (SELECT project_id, b_seq, a_seq, sum(m.k) AS m FROM sg GROUP BY ALL) t ON t.project_id = c.project_id AND t.b_seq = c.b_seq AND t.a_seq = c.a_seq),
+od_ AS MATERIALIZED (SELECT s.project_id, s.b_seq, row_number() OVER (PARTITION BY s.project_id ORDER BY b.activity_id, b.name, s.b_seq) AS r, rivals FROM
+  (SELECT project_id, b_seq, list({{'s': score, 'a': a_seq}} ORDER BY score DESC, a_seq) AS rivals FROM sc GROUP BY ALL) s JOIN b_act b ON b.project_id = s.project_id AND b.act_seq = s.b_seq),
+gr AS (SELECT project_id, 0::BIGINT AS r, []::BIGINT[] AS taken, NULL::BIGINT AS b_seq, NULL::BIGINT AS a_seq, NULL::DOUBLE AS score, NULL::BOOLEAN AS uncertain FROM (SELECT DISTINCT project_id FROM od_)
+  UNION ALL SELECT project_id, r, CASE WHEN free[1].s >= 0.78 THEN list_append(taken, free[1].a) ELSE taken END, b_seq, CASE WHEN free[1].s >= 0.78 THEN free[1].a END, free[1].s, len(free) > 1 AND free[1].s - free[2].s < 0.08
+    FROM (SELECT g.project_id, o.r, g.taken, o.b_seq, list_filter(o.rivals, lambda z: NOT list_contains(g.taken, z.a)) AS free FROM gr g JOIN od_ o ON o.project_id = g.project_id AND o.r = g.r + 1)),
+m3 AS MATERIALIZED (SELECT project_id, b_seq, a_seq, score, uncertain FROM gr WHERE a_seq IS NOT NULL)
+"""
 
 
-@_query()
+@_query(f"{SCORES.strip()} SELECT project_id, b_seq, a_seq, CAST(round(score * 1000000) AS BIGINT) AS score_millionths FROM sc")
+def fuzzy_scores(spark, d):
+    s = reconcile.fuzzy_scores(*_rest(spark, d), reconcile.MatchConfig())
+    return s.select(F.col("pk").alias("project_id"), "b_seq", "a_seq", F.round(F.col("score") * 1_000_000).cast("long").alias("score_millionths"))
+
+
+@_query(f"{SCORES.strip()} SELECT project_id, b_seq, a_seq, round(score, 9) AS score, uncertain FROM m3")
 def fuzzy_greedy(spark, d):
     b, a = _rest(spark, d)
     config = reconcile.MatchConfig()
-    return reconcile.fuzzy_matches(b, a, reconcile.fuzzy_scores(b, a, config), config).withColumnRenamed("pk", "project_id")
+    found = reconcile.fuzzy_matches(b, a, reconcile.fuzzy_scores(b, a, config), config)
+    return found.withColumn("score", F.round("score", 9)).withColumnRenamed("pk", "project_id")
 
 
 @_query(f"{CHANGES.strip()} SELECT project_id, before_activity_id, after_activity_id, stage, status, CAST(confidence AS DOUBLE) AS confidence FROM changes")
@@ -160,7 +174,17 @@ def activity_changes(spark, d):
     return _changes(spark, d).select("project_id", "before_activity_id", "after_activity_id", "stage", "status", "confidence")
 
 
-@_query()
+#: The comparison with all three stages: the third one's matches come in, and what is uncertain or a mere rename is told apart.
+CHANGES_FUZZY = (
+    CHANGES.strip().removeprefix(MATCH.strip()).removeprefix(f", {NEAR.strip()}")
+    .replace(" FROM m ", " FROM m_all m ").replace("(SELECT (project_id, a_seq) FROM m)", "(SELECT (project_id, a_seq) FROM m_all)").replace("(SELECT (project_id, b_seq) FROM m)", "(SELECT (project_id, b_seq) FROM m_all)")
+    .replace("stage, confidence, b_seq, a_seq,", "stage, confidence, uncertain, b.name IS DISTINCT FROM a.name AS renamed, b_seq, a_seq,")
+    .replace("CASE WHEN fields = '' AND sets = ''", "CASE WHEN uncertain THEN 'UNCERTAIN' WHEN stage = 'fuzzy' AND renamed AND fields = 'name' AND sets = '' THEN 'POSSIBLE_RENAME' WHEN fields = '' AND sets = ''")
+)
+ALL_STAGES = f"""{SCORES.strip()}, m_all AS MATERIALIZED (SELECT *, false AS uncertain FROM m UNION ALL SELECT project_id, b_seq, a_seq, 'fuzzy', round(score, 4), uncertain FROM m3){CHANGES_FUZZY}"""
+
+
+@_query(f"""{ALL_STAGES} SELECT project_id, before_activity_id, after_activity_id, stage, status, confidence, array_to_string(list_sort(string_split(fields, ',')), ',') AS fields FROM changes""")
 def activity_changes_fuzzy(spark, d):
     c = _changes(spark, d, fuzzy=True)
     return c.select("project_id", "before_activity_id", "after_activity_id", "stage", "status", "confidence", F.array_join(F.array_sort(F.map_keys("field_changes")), ",").alias("fields"))

@@ -303,7 +303,25 @@ def test_graph_operators(spark):
     seen = {(x.pk, x.source): x for x in graph.walks(nodes, edges, nodes).collect()}
     back = {(x.pk, x.source): x for x in graph.walks(nodes, edges, nodes, outgoing=False).collect()}
     limits = {(x.pk, x.source): x for x in graph.walk_limits(edges, graph.reachable(edges, nodes), nodes, 3).collect()}
-    listed = {x.pk for x in graph.cycle_paths(edges).collect()}
+    found_cycles = [(x.pk, tuple(x.cycle)) for x in graph.cycle_paths(edges).collect()]
+    listed = {pk for pk, _ in found_cycles}
+    want_cycles = []
+    for p in {x[0] for x in rows}:  # the same walk by recursion, for every project
+        own, done = [(a, b) for k, a, b, *_ in rows if k == p], set()
+
+        def visit(path):
+            for a, b in own:  # by place
+                if a == path[-1]:
+                    if b in path:
+                        want_cycles.append((p, (*path[path.index(b) :], b)))  # noqa: B023
+                    elif b not in done:  # noqa: B023
+                        visit([*path, b])
+            done.add(path[-1])  # noqa: B023
+
+        for root in sorted({x for e in own for x in e}):
+            if root not in done:
+                visit([root])
+    assert sorted(found_cycles) == sorted(want_cycles)
     for p in range(12):
         own = [(a, b) for k, a, b, *_ in rows if k == f"P{p}"]
         walker = graph.Walker(own, set())
