@@ -259,7 +259,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Da
     rows, known = _classified(docs, key, text_col)
     rows = stash(rows.join(known.select("fp", "root"), "fp"), "simhash-rows")
     order = F.struct(F.col("key").isNull().alias("null"), "key", "fp", "id1", "id2")
-    chosen = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best")).where("n > 1").select("root", "best.id1", "best.id2")
+    # Written, so that the join with it can split the rows of a large component among tasks.
+    chosen = stash(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best")).where("n > 1").select("root", "best.id1", "best.id2"), "simhash-chosen")
     several = rows.join(chosen.select("root", F.col("id1").alias("c1"), F.col("id2").alias("c2")), "root")
     several = several.groupBy("id1", "id2").agg(F.max((F.col("id1") == F.col("c1")) & (F.col("id2") == F.col("c2"))).alias("stays"))
     several = stash(several, "simhash-several")
