@@ -249,7 +249,8 @@ def mixed_rows(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sou
     names = {n: free_name(docs, f"mix_{n}") for n in ("size", "sid", "shards", "shard", "mark", "copies", "copy", "place", "rounds", "more", "n", "cut", *ends)}
     at = lambda n: F.col(names[n])
     source = free_name(docs, "mix_source")
-    rows = docs.withColumn(names["size"], _words(text_col)).where(at("size") > 0)
+    # No filter on the size: pushed down, it would count the words of every text once more.
+    rows = docs.withColumn(names["size"], _words(text_col))
     known = recipe.select(F.col("sid").alias(names["sid"]), F.col("source").alias(source), F.col("shards").alias(names["shards"]))
     rows = rows.join(F.broadcast(known) if few else known, F.col(source_col).eqNullSafe(F.col(source))).drop(source)
     rows = rows.withColumn(names["shard"], _shard(key, names["size"], at("shards"), seed)).withColumn(names["mark"], _mark(key, names["size"], seed)).drop(names["shards"])
@@ -257,19 +258,25 @@ def mixed_rows(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sou
     rows = rows.join(F.broadcast(told) if few else told, [names["sid"], names["shard"]])
     between = lambda x: F.coalesce(at("mark").between(at(f"{x}_low"), at(f"{x}_high")), F.lit(False))
     at_end = F.array_contains(at("cut"), at("mark"))
-    plain = rows.where(~at_end).withColumn(names["copies"], at("rounds") + (between("a") | between("b")).cast("long"))
     # The runs at the ends, and what shares their marks.
     marks = runs.where(cut).select("sid", "shard", "mark").distinct()
     few_runs = runs.join(marks, ["sid", "shard", "mark"], "left_semi").withColumn("more", F.round(F.col("part") / F.greatest("size", F.lit(1))).cast("long"))
     few_runs = few_runs.select(F.col("sid").alias(names["sid"]), "key", F.col("size").alias(names["size"]), F.col("n").alias(names["n"]), F.col("more").alias(names["more"]))
     own = free_name(docs, "mix_key")
     few_runs = few_runs.withColumnRenamed("key", own)
-    edge = rows.where(at_end).alias("r").join(few_runs.alias("q"), (F.col(f"r.{names['sid']}") == F.col(f"q.{names['sid']}")) & (F.col(f"r.{names['size']}") == F.col(f"q.{names['size']}")) & F.col(f"r.`{key}`").eqNullSafe(F.col(f"q.{own}")))
-    edge = edge.select("r.*", names["n"], names["more"])
-    order = Window.partitionBy(names["sid"], names["size"], key).orderBy(text_col)
-    single = edge.where(at("n") == 1).withColumn(names["copies"], at("rounds") + at("more"))
-    several = edge.where(at("n") > 1).withColumn(names["place"], F.row_number().over(order))
-    several = several.withColumn(names["copies"], at("rounds") + (at("place") <= at("more")).cast("long"))
-    out = [x.select(*docs.columns, names["copies"]) for x in (plain, single, several)]
-    out = out[0].unionByName(out[1]).unionByName(out[2]).where(at("copies") > 0)
+    few_runs = stash(few_runs, "mix-ends")
+    at_q = few_runs.select(F.col(names["sid"]).alias(free_name(docs, "mix_q_sid")), F.col(names["size"]).alias(free_name(docs, "mix_q_size")), own, names["n"], names["more"])
+    met = [at("sid") == F.col(at_q.columns[0]), at("size") == F.col(at_q.columns[1]), F.col(key).eqNullSafe(F.col(own))]
+    if few:  # four runs a shard at most: one pass over the texts
+        rows = rows.join(F.broadcast(at_q), met, "left")
+    else:
+        plain = rows.where(~at_end).withColumns({c: F.lit(None).cast(at_q.schema[c].dataType) for c in at_q.columns})
+        rows = plain.unionByName(rows.where(at_end).join(at_q, met))
+    extra = F.when(at("n") == 1, at("more")).when(at("n").isNull(), (between("a") | between("b")).cast("long"))
+    out = rows.withColumn(names["copies"], F.when(at("size") > 0, at("rounds") + extra)).select(*docs.columns, names["copies"])
+    if not few_runs.where(at("n") > 1).isEmpty():
+        order = Window.partitionBy(names["sid"], names["size"], key).orderBy(text_col)
+        several = rows.where(at("n") > 1).withColumn(names["place"], F.row_number().over(order))
+        out = out.unionByName(several.withColumn(names["copies"], at("rounds") + (at("place") <= at("more")).cast("long")).select(*docs.columns, names["copies"]))
+    out = out.where(at("copies") > 0)
     return out.withColumn(names["copy"], F.explode(F.sequence(F.lit(1).cast("long"), at("copies")))).select(*docs.columns)
