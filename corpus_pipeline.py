@@ -1,4 +1,9 @@
-"""A corpus pipeline: five operators in a row, each stage written as Parquet and read again."""
+"""A corpus pipeline: five operators in a row, each stage written as Parquet and read again.
+
+Every stage works on all that the one before kept, takes whole texts of any
+length, rows that repeat, extra columns of any name and empty tables, which give
+empty results. Nulls: see each stage.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +17,27 @@ SHARDS = 40
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go. A null or empty text has no words and is rejected; repeated rows are judged each for itself."""
     return compression_rules.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies, the document with the smallest id stays."""
+    """Of every group of near copies, the document with the smallest id stays; of repeated rows one. A null id is larger than all others, null texts are copies of each other."""
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go. A null text has no words and stays; repeated rows go or stay together; an empty benchmark takes nothing away."""
     return suffix_decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out, such that sources meet their targets."""
+    """Documents are repeated or left out, such that sources meet their targets. A null source is the last one; texts without words are left out; of repeated rows as many are taken as their share asks for."""
     return apportion_mixing.mixed_rows(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row, repeats included."""
+    """doc_id, size, text_crc32, shard and slot of every row, repeats included. A null id is a key of its own, a null text has no bytes; repeated rows have slots of their own."""
     return ring_sharding.shard_rows(docs, shards=SHARDS).select(F.col("key").alias("doc_id"), "size", "text_crc32", "shard", "slot")
 
 
