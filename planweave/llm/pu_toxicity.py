@@ -7,9 +7,9 @@ model can drive this difference below zero, which no true risk is; the
 non-negative estimator stops there and steps back.
 
 Features are words and the beginnings of words that a text holds, and once more
-those that it holds often. How many texts hold a feature is counted over all of the training
-part; those that confirmed texts hold markedly more or less often make the
-dictionary. All unlabelled texts train: they are dealt out in portions, each of
+those that it holds often. Those that several confirmed texts hold are counted over
+all of the training part, and those that confirmed texts hold markedly more or
+less often than others make the dictionary. All unlabelled texts train: they are dealt out in portions, each of
 which trains a linear model in numpy against all confirmed texts, and the models'
 weights are averaged. Scoring runs in Arrow functions.
 """
@@ -18,120 +18,161 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import bound_arrow_batches, free_name, stash
+from planweave.llm.common import bound_arrow_batches, byte_groups, free_name, stash
 from planweave.llm.labelled import fold, labelled_keys, texts_of
 
 #: Confirmed texts that are learned from, at most, and features of the dictionary, those that are furthest apart.
 CONFIRMED = 2500
 FEATURES = 20_000
-#: Texts that must hold a feature.
+#: Confirmed texts that must hold a feature: fewer are never as far apart as LEAST_APART.
 LEAST_TEXTS = 4
 #: Squared deviations that a feature must be apart between confirmed and other texts; by chance, one in ten thousand is.
 LEAST_APART = 15.0
 #: Unlabelled texts of a portion, about, and portions' tasks at most; a task then trains several.
 PORTION = 4000
 MAX_TASKS = 20_000
-#: Distinct features that a task counts before it hands them on.
-FLUSH = 400_000
 #: Features that go to one place to be averaged.
 CHUNK = 1024
 STEMS = (4, 5)
+#: Words whose features a worker keeps, and bytes of text that are counted at once.
+KEPT_WORDS = 200_000
+COUNTED_BYTES = 1 << 20
 #: Words of a text among which a repeated feature must be one to count as frequent.
 DENSE = 100
 STEPS = 250
 RATE = 0.05
 DECAY = 2e-4
-#: Words whose features a worker keeps.
-KEPT_WORDS = 200_000
 #: Turns ASCII characters that are no letters into spaces, A-Z into a-z.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of letters, in lower case."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = text.decode("utf-8", "replace").lower().encode()
+    return text.translate(LETTERS).split()
+
+
 def word_features(word: bytes) -> list[str]:
-    text = word.decode("utf-8", "replace").lower()
+    text = word.decode("utf-8", "replace")
     return [text, *(f"{text[:k]}*" for k in STEMS if len(text) >= k)]
 
 
-class FeatureSets:
-    """The features of texts; what a word gives is kept for a bounded number of words.
+def features(text: bytes | None, wanted: Features | None = None) -> set[str]:
+    """The features of a text; with a plus once more those that it holds more than once, and in one word of DENSE at least.
 
-    A text that holds a feature more than once, and in one word of DENSE at
-    least, holds a second one, the same with a plus.
+    wanted: only what is among these.
     """
-
-    def __init__(self, wanted: set[str] | None = None) -> None:
-        self.known: dict[bytes, list[str]] = {}
-        # The features that matter by themselves or with a plus.
-        self.wanted = wanted
-        self.roots = None if wanted is None else {f.removesuffix("+") for f in wanted}
-
-    def of(self, text: bytes | None) -> set[str]:
-        words = text.translate(LETTERS).split() if text else []
-        held: dict[str, int] = {}
-        for w, n in Counter(words).items():
-            own = self.known.get(w)
-            if own is None:
-                if len(self.known) >= KEPT_WORDS:
-                    self.known.clear()
-                own = word_features(w)
-                if self.roots is not None:
-                    own = [f for f in own if f in self.roots]
-                self.known[w] = own
-            for f in own:
-                held[f] = held.get(f, 0) + n
-        least = max(2, len(words) / DENSE)
-        out = {f"{f}+" for f, n in held.items() if n >= least}
-        out.update(held)
-        return out if self.wanted is None else out & self.wanted
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """f, n, k: how many texts of the corpus hold a feature, and how many confirmed ones."""
-    sets, held = FeatureSets(), (Counter(), Counter())
-
-    def flush() -> pa.RecordBatch:
-        names = list(held[0] | held[1])
-        k = [held[1][f] for f in names]
-        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([held[0][f] for f in names], pa.int64()), pa.array(k, pa.int64())], ["f", "n", "k"])
-        for c in held:
-            c.clear()
-        return out
-
+    words = words_of(text)
+    held: dict[str, int] = {}
+    if wanted is None:
+        found = [(w, n, word_features(w)) for w, n in Counter(words).items()]
+    else:  # a feature begins the word that has it, so most words are told by their first bytes
+        heads, roots = wanted.heads, wanted.roots
+        found = [(w, n, [f for f in word_features(w) if f in roots]) for w, n in Counter([w for w in words if w[:4] in heads]).items()]
+    for _, n, own in found:
+        for f in own:
+            held[f] = held.get(f, 0) + n
+    least = max(2, len(words) / DENSE)
+    out = {f"{f}+" for f, n in held.items() if n >= least}
+    out.update(held)
+    return out if wanted is None else out & wanted.names
+
+
+class Features:
+    """Features that are looked for, and what tells words that have none of them."""
+
+    def __init__(self, names: set[str]) -> None:
+        self.names = names
+        self.roots = {f.removesuffix("+") for f in names}
+        self.heads = {f.removesuffix("*").encode()[:4] for f in self.roots}
+
+
+def _listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        for text, positive in zip(batch.column("text").to_pylist(), batch.column("positive").to_pylist(), strict=True):
-            held[positive].update(sets.of(text))
-            if len(held[0]) > FLUSH:
-                yield flush()
-    if held[0] or held[1]:
-        yield flush()
+        for k in range(0, len(batch), 64):
+            yield pa.array([sorted(features(x)) for x in batch.slice(k, 64).to_pylist()], pa.list_(pa.string()))
 
 
 def _numbered(shared):
     def numbered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = shared.value
-        sets = FeatureSets(set(names))
+        wanted = Features(set(names))
         for batch in batches:
-            yield pa.array([np.array(sorted(names[f] for f in sets.of(x)), np.int32).tobytes() for x in batch.to_pylist()], pa.binary())
+            yield pa.array([np.array(sorted(names[f] for f in features(x, wanted)), np.int32).tobytes() for x in batch.to_pylist()], pa.binary())
 
     return F.arrow_udf(numbered, "binary").asNondeterministic()
 
 
+class FrequencyCounter:
+    """How many texts hold each of many features, numbered; texts are counted in groups, as arrays."""
+
+    def __init__(self, names: dict[str, int]) -> None:
+        self.counts = np.zeros(len(names), np.int64)
+        roots = sorted({f.removesuffix("+") for f in names})
+        self.roots = {f: i for i, f in enumerate(roots)}
+        self.plain = np.array([names.get(f, -1) for f in roots], np.int64)
+        self.plus = np.array([names.get(f"{f}+", -1) for f in roots], np.int64)
+        self.words: dict[bytes, int] = {}
+        self.of_word: list[list[int]] = []
+
+    def add(self, texts: list[bytes | None]) -> None:
+        split = [words_of(x) for x in texts]
+        sizes = np.array([len(x) for x in split])
+        if not sizes.sum():
+            return
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.of_word = {}, []
+        place, known = self.words, self.of_word
+        flat = list(chain.from_iterable(split))
+        for w in set(flat).difference(place):
+            own = [self.roots.get(f, -1) for f in word_features(w)]
+            place[w] = len(known)
+            known.append(own + [-1] * (1 + len(STEMS) - len(own)))
+        at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        distinct, back = np.unique(at, return_inverse=True)
+        rows = np.array([known[i] for i in distinct.tolist()], np.int64)[back]
+        text = np.repeat(np.arange(len(texts)), sizes)[:, None]
+        met = (text * len(self.plain) + rows)[rows >= 0]
+        pairs, n = np.unique(met, return_counts=True)
+        root, least = pairs % len(self.plain), np.maximum(2, sizes / DENSE)[pairs // len(self.plain)]
+        for ids in (self.plain[root], self.plus[root[n >= least]]):
+            self.counts += np.bincount(ids[ids >= 0], minlength=len(self.counts))
+
+
+def _frequencies(shared):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = FrequencyCounter(shared.value)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for group in byte_groups([x or b"" for x in texts], COUNTED_BYTES):
+                counter.add([texts[i] for i in group])
+        at = np.flatnonzero(counter.counts)
+        for k in range(0, len(at), 1 << 17):
+            part = at[k : k + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counter.counts[part])], ["id", "n"])
+
+    return count
+
+
 class LinearModel:
     """weights by feature; a text's margin is the bias plus the weights of its features."""
 
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.weights, self.bias = {f: w for f, w in weights.items() if abs(w) > 1e-4}, bias
-        self.sets: FeatureSets | None = None
+        self.wanted = Features(set(self.weights))
 
     def margin(self, text: bytes | None) -> float:
-        self.sets = self.sets or FeatureSets(set(self.weights))
-        return self.bias + sum(self.weights[f] for f in sorted(self.sets.of(text)))  # one order: reruns agree to the last bit
+        return self.bias + sum(self.weights[f] for f in sorted(features(text, self.wanted)))  # one order: reruns agree to the last bit
 
 
 def clean_and_slope(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
@@ -172,19 +213,19 @@ def _portions(shared, n_features: int, prior: float, portion: int):
     """For each chunk of features: sums of the weights of a task's models, each times its texts; the last one has the bias and the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        confirmed = [np.frombuffer(x, np.int32) for x in shared.value]
+        confirmed = shared.value
         total, held = np.zeros(n_features + 2), []
 
         def learn() -> None:
             if held:
-                ids = [*confirmed, *(np.frombuffer(x, np.int32) for x in held)]
+                ids = [*confirmed, *held]
                 w, bias = train(ids, np.arange(len(ids)) < len(confirmed), n_features, prior)
                 total.__iadd__(np.concatenate([w, [bias, 1.0]]) * len(held))
                 held.clear()
 
         for batch in batches:
             for x in batch.column("ids").to_pylist():
-                held.append(x)
+                held.append(np.frombuffer(x, np.int32))
                 if len(held) >= 2 * portion:
                     learn()
         learn()
@@ -211,17 +252,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "body"])
 
 
-def dictionary(counted: DataFrame, n_pos: int, n_all: int, most: int = FEATURES, least_apart: float = LEAST_APART) -> dict[str, int]:
-    """Features (f, n, k) that confirmed texts hold markedly more or less often than all do, numbered.
+def apart(n: np.ndarray, k: np.ndarray, n_all: int, n_pos: int) -> np.ndarray:
+    """How far k of n_pos confirmed texts are from what n of n_all lets expect, squared, in variances.
 
-    How far k is from what n lets expect, squared, in variances; one is added to
-    what is expected, so that a few confirmed texts alone make no feature.
+    One is added to what is expected, so that a few confirmed texts alone make no feature.
     """
-    share = F.least(F.lit(1.0), F.col("n") / n_all)
+    share = np.minimum(1.0, n / n_all)
     expected = share * n_pos
-    apart = (F.col("k") - expected) ** 2 / ((expected + 1) * (1 - share + 1e-9) * (1 - n_pos / n_all + 1e-9))
-    often = counted.where(F.col("n") >= LEAST_TEXTS).withColumn("apart", apart).where(F.col("apart") >= least_apart)
-    return {r.f: i for i, r in enumerate(often.orderBy(F.desc("apart"), "f").limit(most).collect())}
+    return (k - expected) ** 2 / ((expected + 1) * (1 - share + 1e-9))
 
 
 def fit(
@@ -233,7 +271,7 @@ def fit(
     The prior is the share of confirmed texts among the labelled ones that may be
     seen. most_confirmed bounds the confirmed texts, the only sample there is;
     most_features and least_apart say how much of the vocabulary gets a weight:
-    what is left out scores as if the text did not hold it. Rows without key are
+    what is left out, as what hardly any confirmed text holds, scores as if the text did not hold it. Rows without key are
     of the corpus. Without confirmed texts no feature has a weight.
     """
     spark = docs.sparkSession
@@ -243,17 +281,25 @@ def fit(
     confirmed = stash(texts_of(docs, keys.where("label = 1").select("l_key", F.lit(True).alias("positive")), key, text_col), "toxicity-confirmed")
     # The estimator takes unlabelled texts as drawn from the whole corpus, toxic ones with their full share: so confirmed ones are among them.
     others = docs.where(F.col(key).isNull() | (fold(key) != 0)).select(F.col(text_col).cast("binary").alias("text"))
-    both = confirmed.select("text", "positive").unionByName(others.withColumn("positive", F.lit(False)))
-    n_pos, n_others = confirmed.count(), others.count()
+    n_pos = confirmed.count()
     none = LinearModel({}, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    if not n_pos or not n_others:
+    listed = stash(confirmed.select("l_key", F.arrow_udf(_listed, "array<string>").asNondeterministic()("text").alias("features")), "toxicity-listed")
+    counted = listed.select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEAST_TEXTS)
+    table = counted.orderBy("f").toArrow()  # as many as the confirmed texts hold at most
+    known, k = table["f"].to_pylist(), table["k"].to_numpy()
+    n_others = others.count()
+    if not known or not n_others:
         return none
-    counted = both.mapInArrow(_frequencies, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    names = dictionary(counted, n_pos, n_others, most_features, least_apart)
-    if not names:
+    counts = others.mapInArrow(_frequencies(spark.sparkContext.broadcast({f: i for i, f in enumerate(known)})), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(known), np.int64)
+    n[counts["id"].to_numpy()] = counts["n"].to_numpy()
+    far = apart(n, k, n_others, n_pos)
+    chosen = [i for i in np.lexsort((np.arange(len(far)), -far)).tolist() if far[i] >= least_apart][:most_features]
+    if not chosen:
         return none
+    names = {known[i]: j for j, i in enumerate(chosen)}
     numbered = _numbered(spark.sparkContext.broadcast(names))
-    positive = [bytes(r.ids) for r in confirmed.select("l_key", numbered("text").alias("ids")).orderBy("l_key").collect()]
+    positive = [np.frombuffer(bytes(r.ids), np.int32) for r in confirmed.select("l_key", numbered("text").alias("ids")).orderBy("l_key").collect()]
     ids = stash(others.select(numbered("text").alias("ids")), "toxicity-ids")
     tasks = min(MAX_TASKS, max(1, round(n_others / portion)))
     dealt = ids.repartition(tasks, F.xxhash64(F.lit(1), F.monotonically_increasing_id())).sortWithinPartitions(F.xxhash64("ids"), "ids")

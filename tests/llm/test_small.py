@@ -313,12 +313,21 @@ def test_non_negative_risk_and_its_slope():
 
 
 def test_toxic_features():
-    sets = pu_toxicity.FeatureSets()
     text = ("calm " * 150 + "Ätzend! ätzende x").encode()
-    got = sets.of(text)
+    got = pu_toxicity.features(text)
     assert {"calm", "calm+", "ätzend", "ätzende", "ätze*", "ätzen*", "x"} <= got and "x+" not in got and "ätze*+" in got
-    assert pu_toxicity.FeatureSets({"ätze*+", "calm"}).of(text) == {"ätze*+", "calm"}
-    assert sets.of(None) == sets.of(b"12 %") == set()
+    for some in ({"ätze*+", "calm"}, {"x", "x+"}, {"calm*", "ätzende"}, {"calm+"}, got, set()):
+        assert pu_toxicity.features(text, pu_toxicity.Features(some)) == got & some
+    assert pu_toxicity.features(None) == pu_toxicity.features(b"12 %") == set()
+    r = random.Random(12)
+    texts = [None, b"", text, *(" ".join(r.choices(["Été", "étés!", "calmly", "a", "12", "calm", "schön", "schöner"], k=r.randint(0, 40))).encode() for _ in range(60))]
+    held = Counter(f for t in texts for f in pu_toxicity.features(t))
+    names = {f: i for i, f in enumerate(sorted(held)) if i % 3}
+    names = {f: i for i, f in enumerate(names)}
+    counter = pu_toxicity.FrequencyCounter(names)
+    for k in range(0, len(texts), 7):
+        counter.add(texts[k : k + 7])
+    assert counter.counts.tolist() == [held[f] for f in names]
 
 
 def test_tokenizers_that_keep_spaces_encode_whole_texts(tmp_path):
