@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.storage import discard, new_path, shared_dir, stash
+from planweave import storage
+from planweave.storage import discard, new_path, shared_dir
 
 __all__ = ["ARROW_BATCH_BYTES", "bound_arrow_batches", "byte_groups", "discard", "free_name", "new_path", "repeated", "shared_dir", "stash"]
 
@@ -15,6 +16,11 @@ __all__ = ["ARROW_BATCH_BYTES", "bound_arrow_batches", "byte_groups", "discard",
 ARROW_BATCH_BYTES = 8 << 20
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again, under the session's own settings."""
+    return storage.stash(df, name, lean=False)
+
+
 def bound_arrow_batches(spark: SparkSession) -> None:
     """Limits Arrow batches by bytes, so that a run of long texts doesn't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))

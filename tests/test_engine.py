@@ -552,6 +552,41 @@ def test_evidence(spark):
         evidence.resolve(evidence.register(rows, "before"), "ev_none")
 
 
+def test_components_in_tasks_are_those_by_joins(spark):
+    r = random.Random(12)
+    rows = [(f"P{p}", *(f"n{r.randrange(12)}" for _ in "ps"), True) for p in range(30) for _ in range(r.randint(0, 10))]
+    edges = spark.createDataFrame(rows, "pk string, p string, s string, traversable boolean")
+    nodes = spark.createDataFrame([(f"P{p}", f"n{i}") for p in range(30) for i in range(12)], "pk string, id string")
+    want = {}
+    for p in range(30):
+        own = {f"n{i}": f"n{i}" for i in range(12)}
+        for _ in own:
+            for pk, x, y, _ in rows:
+                if pk == f"P{p}":
+                    own[x] = own[y] = min(own[x], own[y])
+        want |= {(f"P{p}", i): c for i, c in own.items()}
+    for most in (5, graph.EDGES_PER_TASK):
+        assert {(c.pk, c.id): c.component for c in graph.components(nodes, edges, most).collect()} == want
+
+
+def test_shares_give_what_the_whole_gives(spark, monkeypatch, tmp_path):
+    """Projects dealt to shares are compared as all at once, and what a share writes on its way goes with it."""
+    from planweave import storage
+    from planweave.plans import schedule
+    from planweave.plans.queries import QUERIES
+
+    names, d, got = ("activity_changes", "status_counts"), "/root/testdata/sf0.001", []
+    for lines in (1_000_000, 4_000):
+        monkeypatch.setattr(storage, "shared_dir", lambda spark, at=lines: f"file://{tmp_path}/{at}")
+        monkeypatch.setattr(schedule, "LINES_A_SHARE", lines)
+        schedule.forget()
+        got.append([sorted((tuple(r) for r in QUERIES[n](spark, d).collect()), key=str) for n in names])
+    assert schedule.shares(spark, d) > 1 and got[0] == got[1]
+    left = {p.name.rpartition("-")[0] for p in (tmp_path / "4000").iterdir()}
+    assert left == {"planweave-lines", "planweave-activity_changes", "planweave-status_counts"}
+    schedule.forget()
+
+
 def test_synthetic_export(spark):
     n = normalize(xer.parse_text(xer.synthetic_export(spark, 50)))
     assert n.activities.count() == 50 and n.relationships.where("resolved").count() == 49 + 48 + 47
