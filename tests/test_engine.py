@@ -208,6 +208,30 @@ def test_greedy_is_the_loop(spark):
     assert got == want and len(want) > 60
 
 
+def test_only_what_has_no_match_by_id_is_written(spark, monkeypatch):
+    """A comparison of many equal activities writes no more on the way than those that their ids leave over."""
+    kind = "project_id string, activity_id string, act_seq long, wbs_id string, code string, name string, status string, target_start string, target_finish string, actual_start string, actual_finish string, remaining_duration_hours string"
+    rel = "project_id string, rel_seq long, predecessor_id string, successor_id string, relationship_type string, lag_hours string"
+    row = lambda i, seq, name: ("P", i, seq, "W", "C", name, "S", "d", "e", None, None, "8")
+    base = [row(f"A{k}", k, f"name {k}") for k in range(200)]
+    # A5 is there twice, so its first row falls to the second stage; A7 has a new id, and an edge that follows it there.
+    before = [*base, row("A5", 500, "again")]
+    after = [row("B7", 7, "name 7") if r[1] == "A7" else r for r in base if r[1] != "A9"]
+    edges = [("P", k, f"A{k}", f"A{k + 1}", "PR_FS", "0") for k in range(0, 20, 2)]
+    moved = [tuple("B7" if x == "A7" else x for x in e) for e in edges]
+    written, plain = [], reconcile.stash
+    monkeypatch.setattr(reconcile, "stash", lambda df, name, *a, **k: written.append(plain(df, name, *a, **k)) or written[-1])
+    sides = [reconcile.written(spark.createDataFrame(x, t), "given") for x, t in ((before, kind), (after, kind), (edges, rel), (moved, rel))]
+    monkeypatch.setattr(reconcile, "written", lambda df, name: df)
+    rows = reconcile.compare_activities(*sides, fuzzy=False).collect()
+    assert sum(df.count() for df in written[4:]) <= 12
+    told = {(r.before_activity_id, r.after_activity_id): (r.stage, r.status, sorted(r.set_changes or ())) for r in rows if r.status != "UNCHANGED" or r.stage != "id"}
+    assert told == {
+        ("A7", "B7"): ("wbs_name", "UNCHANGED", []), ("A5", None): (None, "DELETED", []), ("A9", None): (None, "DELETED", []), ("A5", "A5"): ("id", "MODIFIED", []),
+    }
+    assert len(rows) == 201
+
+
 def test_edge_multiset_is_the_loop(spark):
     r = random.Random(8)
     edge = lambda p: (f"P{p}", r.choice(["A", "B", "C"]), r.choice(["A", "B", None]), r.choice(["FS", "SS", None]), r.choice(["0", "8", ""]))
