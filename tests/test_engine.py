@@ -611,6 +611,40 @@ def test_shares_give_what_the_whole_gives(spark, monkeypatch, tmp_path):
     schedule.forget()
 
 
+def test_lines_are_dealt_out_a_few_shares_at_a_time(spark, monkeypatch, tmp_path):
+    """The more shares, the more turns, so that a turn shuffles lines of about three shares' worth, not a third of all."""
+    import duckdb
+
+    from planweave.plans import schedule
+
+    db = duckdb.connect()
+    for name, sql in (
+        ("lineitem", "SELECT i // 3 AS l_orderkey, i % 3 AS l_linenumber, i % 5 AS l_partkey, 1::BIGINT AS l_suppkey, 2.0 AS l_extendedprice, 3.0 AS l_quantity, 'O' AS l_linestatus, TIMESTAMP '2026-01-01' AS l_shipdate FROM range(90) r(i)"),
+        ("orders", "SELECT i AS o_orderkey, i % 7 AS o_custkey, TIMESTAMP '2026-01-01' AS o_orderdate FROM range(30) r(i)"),
+        ("part", "SELECT i AS p_partkey, 'part ' || i AS p_name FROM range(5) r(i)"),
+    ):
+        db.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+    turns, put = [], schedule.put
+    monkeypatch.setattr(schedule, "put", lambda df, path, *more: (turns.append(path), put(df, path, *more)))
+    monkeypatch.setattr(schedule, "LINES_A_SHARE", 6)
+    schedule.forget()
+    lines = schedule._lines(spark, str(tmp_path))
+    assert schedule.shares(spark, str(tmp_path)) == 16 and len(turns) == 6
+    assert sorted((r.k, r.m, r.p_name) for r in lines.collect()) == [(i // 3 * 100 + i % 3 + 1, 3, f"part {i % 5}") for i in range(90)]
+    schedule.forget()
+
+
+def test_pairs_keep_only_what_differs(spark):
+    """What is dealt out and sorted once activities are paired holds no whole rows."""
+    row = {c: "x" for c in reconcile.COMPARED.values()} | {"activity_id": "1", "act_seq": 1}
+    kind = "struct<" + ",".join(f"{c}:{'long' if c == 'act_seq' else 'string'}" for c in row) + ">"
+    pairs = spark.createDataFrame([("P", "id", 1.0, False, row, row | {"name": "y", "act_seq": 2})], f"pk string, stage string, confidence double, uncertain boolean, b {kind}, a {kind}")
+    got = reconcile._told_apart(pairs, raw=False)
+    assert not [f.name for f in got.schema if f.dataType.typeName() == "struct"]
+    r = got.first()
+    assert (r.before_activity_id, r.b_seq, r.a_seq, r.renamed, dict(r.field_changes)) == ("1", 1, 2, True, {"name": ("x", "y")})
+
+
 def test_synthetic_export(spark):
     n = normalize(xer.parse_text(xer.synthetic_export(spark, 50)))
     assert n.activities.count() == 50 and n.relationships.where("resolved").count() == 49 + 48 + 47
