@@ -634,6 +634,42 @@ def test_lines_are_dealt_out_a_few_shares_at_a_time(spark, monkeypatch, tmp_path
     schedule.forget()
 
 
+def test_large_tables_are_compared_where_they_lie(spark, monkeypatch, tmp_path):
+    """Lines are dealt out by project once: no step of a comparison shuffles by project again, and lines without a project are compared too."""
+    import duckdb
+
+    from planweave import storage
+    from planweave.plans import schedule
+    from planweave.plans.queries import QUERIES
+
+    db = duckdb.connect()
+    for name, sql in (
+        ("lineitem", "SELECT i // 3 AS l_orderkey, i % 3 AS l_linenumber, i % 5 AS l_partkey, 1::BIGINT AS l_suppkey, 2.0 AS l_extendedprice, 3.0 AS l_quantity, 'O' AS l_linestatus, TIMESTAMP '2026-01-01' AS l_shipdate FROM range(900) r(i)"),
+        ("orders", "SELECT i AS o_orderkey, nullif(i % 7, 3) AS o_custkey, TIMESTAMP '2026-01-01' AS o_orderdate FROM range(300) r(i)"),
+        ("part", "SELECT i AS p_partkey, 'part ' || i AS p_name FROM range(5) r(i)"),
+        ("customer", "SELECT i AS c_custkey, 'customer ' || i AS c_name FROM range(7) r(i) WHERE i <> 3"),
+    ):
+        db.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+    got, moved, put = [], {}, storage.put
+
+    def seen(df, path, *a, **k):
+        df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        df.sparkSession.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        if k.get("buckets"):
+            moved[path.split("-")[1]] = plan.count("Exchange hashpartitioning")
+        put(df, path, *a, **k)
+
+    monkeypatch.setattr(storage, "put", seen)
+    for lines in (1_000_000, 400):
+        monkeypatch.setattr(schedule, "LINES_A_SHARE", lines)
+        schedule.forget()
+        got.append(sorted((tuple(r) for r in QUERIES["activity_changes"](spark, str(tmp_path)).collect()), key=str))
+    assert got[0] == got[1] and any(r[0] is None for r in got[0])
+    assert moved == {"left": 0, "later": 0, "pairs": 0, "ids": 0, "changes": 0}
+    schedule.forget()
+
+
 def test_pairs_keep_only_what_differs(spark):
     """What is dealt out and sorted once activities are paired holds no whole rows."""
     row = {c: "x" for c in reconcile.COMPARED.values()} | {"activity_id": "1", "act_seq": 1}
