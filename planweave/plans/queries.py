@@ -452,8 +452,10 @@ down AS MATERIALIZED (SELECT * FROM rch WHERE source <> node)
 """
 
 
-def _impacts(spark, d, share: int) -> DataFrame:
-    return schedule.part(spark, d, "impacts", share, lambda: impacts(_changes(spark, d, share), *_acts(spark, d, share), *_rels(spark, d, share)))
+def _impacts(spark, d, share: int, once: bool = False) -> DataFrame:
+    """The impacts of a share's projects; once: they are read once, so of large tables they aren't written."""
+    made = lambda: impacts(_changes(spark, d, share), *_acts(spark, d, share), *_rels(spark, d, share))
+    return made() if once and schedule.shares(spark, d) > 1 else schedule.part(spark, d, "impacts", share, made)
 
 
 @_query(f"""{IMPACT.strip()}, dc AS (SELECT down.side, down.project_id, source, count(*) AS n, count(*) FILTER (c.id IS NOT NULL) AS ch FROM down LEFT JOIN src c ON c.side = down.side AND c.project_id = down.project_id AND c.id = node GROUP BY down.side, down.project_id, source),
@@ -462,7 +464,7 @@ def _impacts(spark, d, share: int) -> DataFrame:
   LEFT JOIN dc ON dc.side = st.side AND dc.project_id = st.project_id AND dc.source = st.id""")
 @_shared
 def impact_summary(spark, d, share):
-    i = _impacts(spark, d, share)
+    i = _impacts(spark, d, share, once=True)
     return i.select("project_id", "source_activity", "change_status", "downstream_activity_count", F.size("changed_downstream").alias("changed_downstream"))
 
 
@@ -470,7 +472,7 @@ def impact_summary(spark, d, share):
   SELECT DISTINCT down.project_id, source AS source_activity, node AS milestone FROM down JOIN ml ON ml.side = down.side AND ml.project_id = down.project_id AND ml.activity_id = node""")
 @_shared
 def downstream_milestones(spark, d, share):
-    i = _impacts(spark, d, share)
+    i = _impacts(spark, d, share, once=True)
     return i.select("project_id", "source_activity", F.explode("downstream_milestones").alias("milestone")).distinct()
 
 
@@ -486,7 +488,7 @@ PATHS = f"""{IMPACT.strip()}, ml AS (SELECT 'a' AS side, project_id, activity_id
 @_query(f"{PATHS} SELECT project_id, side, source_activity, milestone_id, ordinal, array_to_string(path, '>') AS path FROM ip")
 @_shared
 def impact_paths(spark, d, share):
-    return impact.impact_paths(_impacts(spark, d, share)).withColumn("path", F.array_join("path", ">"))
+    return impact.impact_paths(_impacts(spark, d, share, once=True)).withColumn("path", F.array_join("path", ">"))
 
 
 @_query(f"""{EDGES.strip()}, st AS (SELECT DISTINCT project_id, CASE WHEN status = 'DELETED' THEN before_activity_id ELSE after_activity_id END AS id FROM changes WHERE status <> 'UNCHANGED')
@@ -494,7 +496,7 @@ def impact_paths(spark, d, share):
 @_shared
 def impact_edge_changes(spark, d, share):
     """How many edge changes of each status name a changed activity as an end."""
-    return report.counts_by(impact.touching(_impacts(spark, d, share), _edge_changes(spark, d, share)), "project_id", "source_activity", "status")
+    return report.counts_by(impact.touching(_impacts(spark, d, share, once=True), _edge_changes(spark, d, share)), "project_id", "source_activity", "status")
 
 
 # ---- projects, breakdown, calendars ------------------------------------

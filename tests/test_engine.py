@@ -670,6 +670,20 @@ def test_large_tables_are_compared_where_they_lie(spark, monkeypatch, tmp_path):
     schedule.forget()
 
 
+def test_impacts_of_large_tables_are_written_for_several_readers_only(spark, monkeypatch):
+    from planweave import storage
+    from planweave.plans import schedule
+    from planweave.plans.queries import QUERIES
+
+    names, put = [], storage.put
+    monkeypatch.setattr(storage, "put", lambda df, path, *a, **k: (names.append(path.split("planweave-")[1].split("-")[0]), put(df, path, *a, **k)))
+    monkeypatch.setattr(schedule, "LINES_A_SHARE", 4_000)
+    schedule.forget()
+    assert QUERIES["impact_summary"](spark, "/root/testdata/sf0.001").count() > 1000
+    assert "changes" in names and "impacts" not in names
+    schedule.forget()
+
+
 def test_pairs_keep_only_what_differs(spark):
     """What is dealt out and sorted once activities are paired holds no whole rows."""
     row = {c: "x" for c in reconcile.COMPARED.values()} | {"activity_id": "1", "act_seq": 1}
