@@ -684,6 +684,24 @@ def test_impacts_of_large_tables_are_written_for_several_readers_only(spark, mon
     schedule.forget()
 
 
+def test_edge_changes_of_sources_need_no_walk(spark, monkeypatch):
+    """Projects of large tables are compared once, no graph is walked for the ends of edges, and the rows are those of small tables."""
+    from planweave import storage
+    from planweave.plans import schedule
+    from planweave.plans.queries import QUERIES
+
+    d, got, names, put = "/root/testdata/sf0.001", [], [], storage.put
+    monkeypatch.setattr(storage, "put", lambda df, path, *a, **k: (names.append(path.split("planweave-")[1].split("-")[0]), put(df, path, *a, **k)))
+    for lines in (1_000_000, 4_000):
+        monkeypatch.setattr(schedule, "LINES_A_SHARE", lines)
+        schedule.forget()
+        names.clear()
+        got.append(sorted((tuple(r) for r in QUERIES["impact_edge_changes"](spark, d).collect()), key=str))
+        assert names.count("changes") == 1 and "impacts" not in names
+    assert got[0] == got[1] and len(got[0]) > 1000 and "edge" not in names
+    schedule.forget()
+
+
 def test_pairs_keep_only_what_differs(spark):
     """What is dealt out and sorted once activities are paired holds no whole rows."""
     row = {c: "x" for c in reconcile.COMPARED.values()} | {"activity_id": "1", "act_seq": 1}
