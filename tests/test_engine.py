@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from planweave import __main__ as command
 from planweave import compare as comparing
 from planweave.functions.text import is_milestone, normal_name, relationship_label, relationship_type, rounded
-from planweave.operators import evidence, graph, reconcile, report
+from planweave.operators import evidence, graph, impact, reconcile, report
 from planweave.operators.edges import compare_edges
 from planweave.operators.impact import impacts, touching
 from planweave.operators.normalize import normalize, wbs_names, wbs_tree
@@ -702,6 +702,38 @@ def test_edge_changes_of_sources_need_no_walk(spark, monkeypatch):
     schedule.forget()
 
 
+def test_paths_come_with_their_records(spark, bridge, compare):
+    """What a walk says of the records along its paths is what joins find; edges that lead to no activity count for neither."""
+    b, a, changes = compare(*bridge)
+    rels = (b.relationships, a.relationships)
+    paths = impact.paths_with_records(impacts(changes, b.activities, a.activities, *rels, records=True, include_uncertain=True)).collect()
+    loose = impact.paths_with_records(impacts(changes, b.activities, a.activities, *[r.drop("resolved") for r in rels], records=True, include_uncertain=True))
+    assert sorted(loose.collect()) == sorted(paths)
+    ids = {side: {r.activity_id: r.e for r in s.activities.select("activity_id", evidence.ref(side, F.col("src")).alias("e")).collect()} for side, s in (("before", b), ("after", a))}
+    ways = {side: [tuple(r) for r in s.relationships.orderBy("rel_seq").select("predecessor_id", "successor_id", evidence.ref(side, F.col("src"))).collect()] for side, s in (("before", b), ("after", a))}
+    assert {tuple(p.path) for p in paths} >= {("pile", "deck", "open")} and max(len(p.edges) for p in paths) == 3
+    for p in paths:
+        assert p.nodes == [ids[p.side][x] for x in p.path]
+        assert p.edges == [e for hop in zip(p.path, p.path[1:]) for u, v, e in ways[p.side] if (u, v) == hop]
+
+
+def test_path_evidence_of_large_tables_is_found_in_the_walk(spark, monkeypatch):
+    from planweave import storage
+    from planweave.plans import schedule
+    from planweave.plans.queries import QUERIES
+
+    got, names, put = [], [], storage.put
+    monkeypatch.setattr(storage, "put", lambda df, path, *a, **k: (names.append(path.split("planweave-")[1].split("-")[0]), put(df, path, *a, **k)))
+    for lines in (1_000_000, 4_000):
+        monkeypatch.setattr(schedule, "LINES_A_SHARE", lines)
+        schedule.forget()
+        names.clear()
+        got.append(sorted((tuple(r) for r in QUERIES["path_evidence"](spark, "/root/testdata/sf0.001").collect()), key=str))
+        assert "impacts" not in names and "relationships" not in names
+    assert got[0] == got[1] and len(got[0]) > 500
+    schedule.forget()
+
+
 def test_pairs_keep_only_what_differs(spark):
     """What is dealt out and sorted once activities are paired holds no whole rows."""
     row = {c: "x" for c in reconcile.COMPARED.values()} | {"activity_id": "1", "act_seq": 1}
