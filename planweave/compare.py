@@ -46,13 +46,13 @@ class Comparison:
     evidence: DataFrame
     records: DataFrame
 
-    def texts(self, every_edge: bool = False) -> DataFrame:
+    def texts(self, every_edge: bool = True) -> DataFrame:
         """(project_id, report): the nested report of each project as a JSON text."""
         return report.project_reports(
             self.projects, self.changes, self.edge_changes, self.impacts, self.warnings, self.metadata, self.paths, self.unresolved, self.records, every_edge
         )
 
-    def write(self, folder: str, before: Source, after: Source, every_edge: bool = False) -> None:
+    def write(self, folder: str, before: Source, after: Source, every_edge: bool = True) -> None:
         """Projects, evidence and the envelope as folders of JSON lines; nothing but the envelope passes through the driver."""
         spark = self.projects.sparkSession
         self.texts(every_edge).select(F.col("report").alias("value")).write.text(f"{folder}/projects")

@@ -734,6 +734,28 @@ def test_path_evidence_of_large_tables_is_found_in_the_walk(spark, monkeypatch):
     schedule.forget()
 
 
+def test_reports_of_the_query_are_whole(spark):
+    """report_json has all parts of a report: metadata, records of projects and paths, and of every impact all edge changes of its project."""
+    from planweave.plans import schedule
+    from planweave.plans.queries import QUERIES
+
+    schedule.forget()
+    whole = [p for p in (json.loads(r.report) for r in QUERIES["report_json"](spark, "/root/testdata/sf0.001").collect()) if p["status"] == "MATCHED" and p["activity_changes"]]
+    impacts_ = [(p, i) for p in whole for i in p["impacts"]]
+    paths = [(p, x) for p, i in impacts_ for x in i["paths"]]
+    assert len(impacts_) > 1000 and len(paths) > 500
+    assert all(len(p["evidence_refs"]) == 2 for p in whole)
+    for p in whole:
+        named = {f"{side}:{c[f'{side}_activity_id']}" for c in p["activity_changes"] for side in ("before", "after") if c[f"{side}_activity_id"]}
+        assert named == set(p["activity_metadata"]) and all(set(m) == CONTRACT["metadata"] and m["evidence_refs"] for m in p["activity_metadata"].values())
+    assert all(i["relationship_changes"] == p["relationship_changes"] for p, i in impacts_)
+    for p, x in paths:
+        ids = x["activity_ids"]
+        assert set(x) == CONTRACT["path"] and set(x["node_metadata_refs"].values()) <= set(p["activity_metadata"]) and len(x["edge_evidence_refs"]) >= len(ids) - 1
+        assert set(x["node_metadata_refs"]) == set(ids) and all(x["node_evidence_refs"][k] in p["activity_metadata"][ref]["evidence_refs"] for k, ref in x["node_metadata_refs"].items())
+    schedule.forget()
+
+
 def test_pairs_keep_only_what_differs(spark):
     """What is dealt out and sorted once activities are paired holds no whole rows."""
     row = {c: "x" for c in reconcile.COMPARED.values()} | {"activity_id": "1", "act_seq": 1}
